@@ -217,7 +217,8 @@ def hit_id(document_id: Column) -> Column:
 
 
 def size_kb(size_bytes: Column) -> Column:
-    return F.format_string("%.1f KB", F.coalesce(size_bytes, F.lit(0)) / 1024)
+    # Halves go to the even digit, as they do in the listings this must equal.
+    return F.format_string("%.1f KB", F.bround(F.coalesce(size_bytes, F.lit(0)) / 1024, 1))
 
 
 def mask_secret(secret: Column) -> Column:
