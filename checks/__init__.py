@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marginalia.session import checkpoint_dir
+from marginalia.session import checkpoint_dir, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,7 +21,14 @@ def query(name: str, sql: str | None = None):
     def register(function):
         if name in QUERIES:
             raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = function
+
+        @functools.wraps(function)
+        def run(spark: SparkSession, directory: str) -> DataFrame:
+            here = Path(__file__).resolve().parent
+            ship(spark, here.parent / "marginalia", here)
+            return function(spark, directory)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return function

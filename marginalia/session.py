@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,3 +58,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """Hint a broadcast only after counting, up to the bound, that the rows are few."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship(spark: SparkSession, *packages: Path) -> None:
+    """Send packages to the Python workers, once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    for package in packages or (Path(__file__).parent,):
+        if (context.applicationId, str(package)) in _shipped:
+            continue
+        archive = Path(tempfile.mkdtemp(prefix="marginalia-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(archive, "w") as out:
+            for source in sorted(package.rglob("*.py")):
+                out.write(source, source.relative_to(package.parent))
+        context.addPyFile(str(archive))
+        _shipped.add((context.applicationId, str(package)))
