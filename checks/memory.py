@@ -95,11 +95,11 @@ FOLDED = "translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrst
 
 @query(
     "search_memory",
-    f"""WITH {MEMORY} SELECT id, session_id, role, content FROM mem WHERE {FOLDED} LIKE '%über_i%' AND role = 'assistant'
+    f"""WITH {MEMORY} SELECT id, session_id, role, content FROM mem WHERE {FOLDED} LIKE '%ü_er%' AND role = 'assistant'
         ORDER BY said DESC, id DESC LIMIT 10""",
 )
 def search_memory(spark, d):
-    found = m.search_memory("conversation", memory(spark, d), "üBER_I", {"role": "assistant", "colour": "red"})
+    found = m.search_memory("conversation", memory(spark, d), "ü_ER", {"role": "assistant", "colour": "red"})
     return found.select("id", "session_id", "role", "content")
 
 
