@@ -14,6 +14,10 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
+# The same characters, and those of Python's \w, as they stand in a Java character class.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+WORD = r"\p{L}\p{N}_"
+
 # File extension to language name; other extensions name themselves.
 LANGUAGES = {
     "py": "python",
@@ -47,7 +51,7 @@ DATE_PATTERN = (
     r"\s+\d{1,2},\s+\d{4}\b"
 )
 
-HEADING_PATTERN = r"(?mdU)^(#+)\s+(.+)$"
+HEADING_PATTERN = rf"(?md)^(#+)[{SPACE}]+(.+)$"
 MAX_QUERY_CHARS = 500
 
 
@@ -78,8 +82,8 @@ def content_id(content: Column) -> Column:
 
 def clean_extracted_text(text: Column) -> Column:
     """One space per white-space run, and words broken by a hyphen joined again."""
-    flat = F.regexp_replace(text, r"(?U)\s+", " ")
-    return F.regexp_replace(flat, r"(?U)(\w)-\s+(\w+)", "$1$2")
+    flat = F.regexp_replace(text, f"[{SPACE}]+", " ")
+    return F.regexp_replace(flat, f"([{WORD}])- ([{WORD}]+)", "$1$2")
 
 
 def collapse_blank(text: Column) -> Column:
@@ -149,13 +153,13 @@ def date_mentions(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per written-out date, with its value (NULL for a day that does not exist)."""
     rest = [c for c in df.columns if c != text]
     found = df.select(*rest, F.posexplode(dates_in(F.col(text))).alias("pos", "mention"))
-    flat = F.regexp_replace("mention", r"(?U)\s+", " ")
+    flat = F.regexp_replace("mention", f"[{SPACE}]+", " ")
     return found.withColumn("date", F.try_to_timestamp(flat, F.lit("MMMM d, yyyy")).cast("date"))
 
 
 def slug(text: Column, size: int = 50) -> Column:
-    kept = F.regexp_replace(F.lower(text), r"(?U)[^\w\s-]", "")
-    return F.substring(F.regexp_replace(kept, r"(?U)[\s-]+", "_"), 1, size)
+    kept = F.regexp_replace(F.lower(text), f"[^{WORD}{SPACE}-]+", "")
+    return F.substring(F.regexp_replace(kept, f"[{SPACE}-]+", "_"), 1, size)
 
 
 def clip(text: Column, size: int, suffix: str = "...") -> Column:
@@ -177,20 +181,25 @@ def repair_json(reply: Column) -> Column:
     text = strip(F.regexp_replace(text, r"```\z", ""))
     text = F.regexp_replace(text, r",(\s*[}\]])", "$1")
     text = F.regexp_replace(text, r"([}\]])(\s*)([{\[])", "$1,$2$3")
-    whole = text.endswith("}") | text.endswith("]")
-    upto_brace = F.regexp_extract(text, r"(?s)^(.+\}|\})", 1)
-    has_brace = F.instr(text, "}") > 1
-    text = F.when(whole | ~has_brace, text).otherwise(upto_brace)
+
+    def cut(text: Column) -> Column:
+        whole = text.endswith("}") | text.endswith("]") | (F.instr(text, "}") <= 1)
+        return F.when(whole, text).otherwise(F.regexp_extract(text, r"(?s)^.*\}", 0))
+
     # Spark's parser stops after the first value; the closing member proves that all was read.
-    framed = F.try_parse_json(F.concat(F.lit('{"reply":'), text, F.lit(',"all_read":1}')))
-    reply_seen = F.try_variant_get(framed, "$.all_read", "int").isNotNull()
-    parsed = F.when(reply_seen, F.try_variant_get(framed, "$.reply", "variant"))
+    framed = F.try_parse_json(F.concat(F.lit('{"reply":'), bind(text, cut), F.lit(',"all_read":1}')))
+    parsed = bind(
+        framed,
+        lambda v: F.when(
+            F.try_variant_get(v, "$.all_read", "int").isNotNull(), F.try_variant_get(v, "$.reply", "variant")
+        ),
+    )
     return F.coalesce(parsed, F.parse_json(F.lit("{}")))
 
 
 def token_estimate(text: Column) -> Column:
     """Words times 1.3."""
-    return F.regexp_count(text, F.lit(r"(?U)\S+")) * F.lit(1.3)
+    return F.regexp_count(text, F.lit(f"[^{SPACE}]+")) * F.lit(1.3)
 
 
 def shift_timestamps(

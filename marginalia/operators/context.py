@@ -87,29 +87,37 @@ def build_context(
     query has one row, ``part_no`` 0; only one with pages beyond ``pages_per_part``
     positions goes on in further rows, so that no text grows without bound.
     """
+    asked = queries.select("query_id").distinct()
+    pages = pages.join(asked, "query_id", "left_semi")
     part = F.floor(F.col("position") / pages_per_part).cast("int")
-    blocks = format_page_context(pages.withColumn("part_no", part))
-    by_part = blocks.groupBy("query_id", "part_no").agg(
-        F.array_join(F.sort_array(F.collect_list(F.struct("position", "text")))["text"], "").alias("page_text")
+
+    def parts(texts: DataFrame, kind: str) -> DataFrame:
+        return texts.join(asked, "query_id", "left_semi").select(
+            "query_id", F.lit(0).alias("part_no"), F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("position"), "text"
+        )
+
+    blocks = format_page_context(pages.withColumn("part_no", part)).select(
+        "query_id", "part_no", F.lit("page").alias("kind"), F.col("position").cast("bigint").alias("position"), "text"
     )
-    first = queries.select("query_id", F.lit(0).alias("part_no"))
-    parts = first.union(by_part.select("query_id", "part_no").join(first.select("query_id"), "query_id", "left_semi"))
-    failed = count_failures(pages.select("query_id", F.col("fetch_success").alias("success")))
-    searched = format_search_context(results).select("query_id", F.lit(0).alias("part_no"), F.col("text").alias("search_text"))
-    documents = format_doc_context(hits).select("query_id", F.lit(0).alias("part_no"), F.col("text").alias("doc_text"))
-    key = ["query_id", "part_no"]
-    joined = (
-        parts.distinct()
-        .join(searched, key, "left")
-        .join(by_part, key, "left")
-        .join(documents, key, "left")
-        .join(failed, "query_id", "left")
+    # Every query has a first part, whatever was found for it.
+    rows = (
+        parts(asked.withColumn("text", F.lit("")), "query")
+        .unionByName(parts(format_search_context(results), "search"))
+        .unionByName(parts(format_doc_context(hits), "document"))
+        .unionByName(blocks)
     )
-    web = F.concat(F.coalesce("search_text", F.lit("")), F.coalesce("page_text", F.lit("")))
+    held = rows.groupBy("query_id", "part_no").agg(
+        F.max(F.when(F.col("kind") == "search", F.col("text"))).alias("search"),
+        F.max(F.when(F.col("kind") == "document", F.col("text"))).alias("document"),
+        F.sort_array(F.collect_list(F.when(F.col("kind") == "page", F.struct("position", "text")))).alias("pages"),
+    )
+    failed = count_failures(pages.select("query_id", F.col("fetch_success").alias("success")))
+    web = F.concat(_or("search", ""), F.array_join("pages.text", ""))
     head = F.col("part_no") == 0
-    return joined.select(
-        *key,
+    return held.join(failed, "query_id", "left").select(
+        "query_id",
+        "part_no",
         F.when(head & (web == ""), F.lit(NO_WEB)).otherwise(web).alias("web_context"),
-        F.when(head, _or("doc_text", NO_DOCUMENTS)).otherwise(F.lit("")).alias("doc_context"),
+        F.when(head, _or("document", NO_DOCUMENTS)).otherwise(F.lit("")).alias("doc_context"),
         F.coalesce("failures", F.lit(0)).alias("failures"),
     )

@@ -67,19 +67,20 @@ def document_summaries(pages: DataFrame) -> DataFrame:
 def resolve_hits(hits: DataFrame, registry: DataFrame) -> DataFrame:
     """Attach the registered document to each hit: by path, else by file name, else ``unknown``.
 
-    Input: hits(source, ...). Both lookup tables have one row per key.
+    Input: hits(source, ...). Hits that carry a ``doc_id`` are matched by it first, so that
+    a document keeps its chunks when its file moves. Lookup tables have one row per key.
     """
-    first = F.struct("created_at", "id")
-    by_path = registry.groupBy(F.col("path").alias("source")).agg(
-        F.min_by(F.struct("id", "filename"), first).alias("p")
-    )
-    by_name = registry.groupBy(F.col("filename").alias("name")).agg(
-        F.min_by(F.struct("id", "filename"), first).alias("f")
-    )
-    named = hits.withColumn("name", F.regexp_extract("source", r"([^/]+)/*$", 1))
-    found = named.join(by_path, "source", "left").join(by_name, "name", "left")
+    document, first = F.struct("id", "filename"), F.struct("created_at", "id")
+    found = hits.withColumn("name", F.regexp_extract("source", r"([^/]+)/*$", 1))
+    keys = {"source": "path", "name": "filename"}
+    if "doc_id" in hits.columns:
+        keys = {"doc_id": "id", **keys}
+    for key, column in keys.items():
+        known = registry.groupBy(F.col(column).alias(key)).agg(F.min_by(document, first).alias(f"_{key}"))
+        found = found.join(known, key, "left")
+    match = F.coalesce(*[F.col(f"_{key}") for key in keys])
     return found.select(
         *hits.columns,
-        F.coalesce("p.id", "f.id", F.lit("unknown")).alias("document_id"),
-        F.coalesce("p.filename", "f.filename", "name").alias("filename"),
+        F.coalesce(match["id"], F.lit("unknown")).alias("document_id"),
+        F.coalesce(match["filename"], F.col("name")).alias("filename"),
     )

@@ -12,13 +12,15 @@ from marginalia.session import cut_lineage
 def number_rows(df: DataFrame, order: list[str], out: str, first: int = 1) -> DataFrame:
     """Number the rows in the given order.
 
-    Rows are range-partitioned and sorted, and fixed in the checkpoint folder so that a
-    lost executor cannot change their places. Only the row count of each partition is
-    added up in one place.
+    Rows are range-partitioned and sorted, and written with their places so that a lost
+    executor cannot change them. Only the row count of each partition is added up in one
+    place.
     """
     sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = cut_lineage(sorted_rows).select(
-        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")
+    placed = cut_lineage(
+        sorted_rows.select(
+            "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")
+        )
     )
     per_part = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))

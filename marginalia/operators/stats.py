@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import last_wins_map
 
-LOG_LINE = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d) - (.*?) - ([A-Z]+) - (.*)$"
+TIME = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"
+
 
 
 def timing_stats(
@@ -38,26 +39,24 @@ def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
     A line of another form keeps its text as the message.
     """
-    line = F.col(column)
-    rest = F.regexp_extract(line, LOG_LINE, 4)
-    matched = line.rlike(LOG_LINE)
-
-    def part(i: int) -> Column:
-        return F.when(matched, F.regexp_extract(line, LOG_LINE, i))
-
+    rest = [c for c in lines.columns if c != column]
+    cut = lines.select(*rest, F.col(column).alias("_line"), F.split(column, " - ", 4).alias("_part"))
+    part = [F.get("_part", F.lit(i)) for i in range(4)]
+    is_entry = (F.size("_part") == 4) & part[0].rlike(TIME) & part[2].rlike("^[A-Z]+$")
+    read = cut.select("*", F.coalesce(is_entry, F.lit(False)).alias("_ok"), F.split(part[3], r" \| (?=\w+=)").alias("_piece"))
     pairs = F.transform(
-        F.regexp_extract_all(rest, F.lit(r" \| \w+=.*?(?= \| \w+=|$)"), 0),
+        F.when(F.col("_ok"), F.slice("_piece", 2, F.greatest(F.size("_piece") - 1, F.lit(0)))).otherwise(F.array().cast("array<string>")),
         lambda p: F.struct(
-            F.regexp_extract(p, r"^ \| (\w+)=", 1).alias("key"),
-            F.regexp_replace(p, r"^ \| \w+=", "").alias("value"),
+            F.substring_index(p, "=", 1).alias("key"), F.substring(p, F.instr(p, "=") + 1, F.length(p)).alias("value")
         ),
     )
-    return lines.select(
-        *[c for c in lines.columns if c != column],
-        F.try_to_timestamp(part(1), F.lit("yyyy-MM-dd HH:mm:ss")).alias("logged_at"),
-        part(2).alias("logger"),
-        part(3).alias("level"),
-        F.when(matched, F.regexp_replace(rest, r" \| \w+=.*$", "")).otherwise(line).alias("message"),
+    ok = F.col("_ok")
+    return read.select(
+        *rest,
+        F.when(ok, F.try_to_timestamp(part[0], F.lit("yyyy-MM-dd HH:mm:ss"))).alias("logged_at"),
+        F.when(ok, part[1]).alias("logger"),
+        F.when(ok, part[2]).alias("level"),
+        F.when(ok, F.get("_piece", F.lit(0))).otherwise(F.col("_line")).alias("message"),
         last_wins_map(pairs).alias("fields"),
     )
 

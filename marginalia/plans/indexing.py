@@ -6,15 +6,14 @@ only ever appended to) and ``model`` (the fitted embedder).
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import content_id
 from marginalia.operators.chunks import chunk_documents
 from marginalia.operators.library import resolve_hits
-from marginalia.operators.vectors import embed_text, few_hits, fit_embedder, search_topk
-from marginalia.session import broadcast_if_small, cut_lineage
+from marginalia.operators.vectors import embed_text, few_hits, fit_embedder, load_embedder, save_embedder, search_topk
+from marginalia.session import cut_lineage
 from marginalia.sources.files import extract_pages
 from marginalia.sources.tables import REGISTRY_SCHEMA, exists, read_registry, write_registry
 
@@ -22,6 +21,8 @@ CHUNK_SCHEMA = (
     "chunk_id string, doc_id string, source string, page_no int, chunk_no int, text string, vector array<float>"
 )
 
+BROADCAST_PATHS = 500_000
+
 
 def chunk_id(doc_id: Column, page_no: Column, chunk_no: Column) -> Column:
     return F.concat_ws("-", doc_id, page_no.cast("string"), chunk_no.cast("string"))
@@ -40,23 +41,25 @@ def _embedder(index: str, chunks: DataFrame | None, spark: SparkSession, embedde
         return embedder
     path = f"{index}/model"
     if exists(spark, path):
-        return PipelineModel.load(path)
+        return load_embedder(path)
     if chunks is None:
         return None
     model = fit_embedder(chunks, "text")
-    model.write().overwrite().save(path)
+    save_embedder(model, path)
     return model
 
 
-def _only(files: DataFrame, listed: DataFrame, fresh: DataFrame) -> DataFrame:
+def _only(files: DataFrame, listed: DataFrame, fresh: DataFrame, found: int) -> DataFrame:
     """The files whose paths are in ``fresh``, tested against the shorter of the two path lists.
 
     A short list is broadcast, so that contents stay where they are read.
     """
-    rest = listed.select("path").join(fresh.select("path"), "path", "left_anti")
-    few_fresh = fresh.count() <= rest.count()
-    paths = broadcast_if_small(fresh.select("path") if few_fresh else rest)
-    return files.join(paths, "path", "left_semi" if few_fresh else "left_anti")
+    wanted = fresh.count()
+    if wanted <= found - wanted:
+        paths, how, rows = fresh.select("path"), "left_semi", wanted
+    else:
+        paths, how, rows = listed.select("path").join(fresh, "path", "left_anti"), "left_anti", found - wanted
+    return files.join(F.broadcast(paths) if rows <= BROADCAST_PATHS else paths, "path", how)
 
 
 def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, int]:
@@ -71,12 +74,13 @@ def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, in
     listed = cut_lineage(
         files.select("path", "filename", "type", "size_bytes", "last_modified", content_id(F.col("content")).alias("id"))
     )
+    found = listed.count()
     last = listed.groupBy("id").agg(F.max_by(F.struct(*[c for c in listed.columns if c != "id"]), "path").alias("f"))
     documents = last.select("id", "f.*")
     known = read_chunks(spark, index).select(F.col("doc_id").alias("id")).distinct()
     fresh = cut_lineage(documents.select("id", "path").join(known, "id", "left_anti"))
     pages = extract_pages(
-        _only(files, listed, fresh).select(
+        _only(files, listed, fresh, found).select(
             content_id(F.col("content")).alias("doc_id"), F.col("path").alias("source"), "type", "content"
         )
     )
@@ -95,7 +99,7 @@ def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, in
     rows = cut_lineage(rows)
     kept = read_registry(spark, index + "/registry").join(rows.select("id"), "id", "left_anti")
     write_registry(kept.select(*REGISTRY_SCHEMA.names).unionByName(rows), index + "/registry")
-    return {"found": listed.count(), "indexed": rows.count()}
+    return {"found": found, "indexed": rows.count()}
 
 
 def rank_chunks(queries: DataFrame, chunks: DataFrame, k: int = 5, embedder=None) -> DataFrame:

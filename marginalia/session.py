@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -46,18 +46,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         known = tempfile.mkdtemp(prefix="marginalia-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(known)
-    return known
+    return known.rstrip("/")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows survive the loss of any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows to the shared folder and go on from there.
 
-
-def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
-    """Hint a broadcast only after counting, up to the bound, that the rows are few."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    The rows survive the loss of any executor, are computed once however often they are
+    used, and are read by column; their size is known to the optimizer.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 _shipped: set[tuple[str, str]] = set()
