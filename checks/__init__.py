@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None):
         def run(spark: SparkSession, directory: str) -> DataFrame:
             here = Path(__file__).resolve().parent
             ship(spark, here.parent / "marginalia", here)
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return function(spark, directory)
 
         QUERIES[name] = run

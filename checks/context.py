@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import query, table
 from checks.pages import DOMAINS, PARTS
-from checks.search import questions
+from checks.search import HTML_PAGES, bm25, questions
 from marginalia.operators import context as c
 from marginalia.operators import pages as p
 from marginalia.operators import stats, steps
@@ -104,7 +104,20 @@ def build_context(spark, d):
     return c.build_context(asked, found, fetched(spark, d), doc_hits(spark, d))
 
 
-@query("research_contexts")
+# All hosts are below an allowed domain, so the two best pages of a query are both read.
+@query(
+    "research_contexts",
+    f"""WITH {PARTS}, {bm25(HTML_PAGES, 5)}, {DOC_TEXT},
+        listed AS (SELECT query_id, string_agg('- ' || title || ': ' || snippet || ' (Source: ' || url || ')' || {NL} || {NL}, '' ORDER BY rank) AS text
+            FROM ranked GROUP BY 1),
+        visited AS (SELECT query_id, string_agg('Webpage: ' || r.title || ' (Source: ' || r.url || ')' || {NL} || 'Content: '
+            || CASE WHEN length(content) > 1500 THEN left(content, 1500) || '...' ELSE content END || {NL} || {NL}, '' ORDER BY rank) AS text
+            FROM ranked r JOIN read_pages USING (page_id) WHERE rank <= 2 GROUP BY 1)
+        SELECT item_id AS query_id, 0 AS part_no, coalesce(l.text || v.text, 'No web results available.') AS web_context,
+            coalesce(d.text, 'No document results available.') AS doc_context, 0 AS failures
+        FROM benchmark LEFT JOIN listed l ON l.query_id = item_id LEFT JOIN visited v ON v.query_id = item_id
+            LEFT JOIN doc_text d ON d.query_id = item_id""",
+)
 def research_contexts_query(spark, d):
     asked = questions(spark, d)
     hits = doc_hits(spark, d)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import query, scratch, table
-from checks.pages import registry_of
+from checks.pages import PARTS, registry_of
 from marginalia.operators import chunks as c
 from marginalia.operators import library as lib
 from marginalia.operators import ranking as r
@@ -29,7 +29,49 @@ def questions(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query("chunk_documents")
+def pieces(level: int, mark: str, source: str) -> str:
+    """Pieces of the long texts of the level above, numbered; a mark stays at the head of its piece.
+
+    ``run`` counts the long pieces before a piece: short ones with the same count are packed together.
+    """
+    above = ", ".join(f"i{n}" for n in range(1, level))
+    keys = f"doc_id, {above}" if above else "doc_id"
+    return f"""c{level} AS (SELECT {keys}, unnest(string_split(text, {mark})) AS piece, generate_subscripts(string_split(text, {mark}), 1) AS i{level}
+            FROM {source}),
+        p{level} AS (SELECT * REPLACE (CASE WHEN i{level} > 1 THEN {mark} ELSE '' END || piece AS piece) FROM c{level}),
+        l{level} AS (SELECT *, length(piece) >= 1000 AS long, count(*) FILTER (length(piece) >= 1000) OVER
+            (PARTITION BY {keys} ORDER BY i{level}) AS run FROM p{level} WHERE piece <> '')"""
+
+
+CHUNKS = f"""WITH RECURSIVE {pieces(1, "chr(10)", "documents")},
+        t1 AS (SELECT doc_id, i1, piece AS text FROM l1 WHERE long),
+        {pieces(2, "'. '", "t1")},
+        t2 AS (SELECT doc_id, i1, i2, piece AS text FROM l2 WHERE long),
+        {pieces(3, "' '", "t2")},
+        atoms AS (SELECT doc_id, 0 AS a1, 0 AS a2, run, i1, 0 AS i2, 0 AS i3, piece FROM l1 WHERE NOT long
+            UNION ALL SELECT doc_id, i1, 0, run, i1, i2, 0, piece FROM l2 WHERE NOT long
+            UNION ALL SELECT doc_id, i1, i2, run, i1, i2, i3, piece FROM l3 WHERE NOT long),
+        numbered AS (SELECT *, dense_rank() OVER (ORDER BY doc_id, a1, a2, run) AS r, row_number() OVER w AS n,
+            sum(length(piece)) OVER w AS upto FROM atoms WINDOW w AS (PARTITION BY doc_id, a1, a2, run ORDER BY i1, i2, i3)),
+        packed AS (SELECT r, 1::bigint AS a FROM numbered GROUP BY r
+            UNION ALL
+            SELECT r, next FROM (
+                SELECT e.r, (SELECT min(x.n) FROM numbered x JOIN numbered stop ON stop.r = x.r AND stop.n = e.b
+                        WHERE x.r = e.r AND x.n >= e.a AND (x.n = e.b OR (stop.upto - length(stop.piece) - (x.upto - length(x.piece)) <= 200
+                            AND stop.upto - (x.upto - length(x.piece)) <= 1000))) AS next
+                FROM (SELECT p.r, p.a, (SELECT min(y.n) FROM numbered y JOIN numbered s ON s.r = y.r AND s.n = p.a
+                        WHERE y.r = p.r AND y.n > p.a AND y.upto - (s.upto - length(s.piece)) > 1000) AS b FROM packed p) e
+                WHERE e.b IS NOT NULL)),
+        ends AS (SELECT p.r, p.a, min(y.n) AS b FROM packed p JOIN numbered s ON s.r = p.r AND s.n = p.a
+            LEFT JOIN numbered y ON y.r = p.r AND y.n > p.a AND y.upto - (s.upto - length(s.piece)) > 1000 GROUP BY 1, 2),
+        chunks AS (SELECT any_value(x.doc_id) AS doc_id, min((x.i1, x.i2, x.i3)) AS place, e.a,
+            trim(string_agg(x.piece, '' ORDER BY x.n), {SPACE}) AS text
+            FROM ends e JOIN numbered x ON x.r = e.r AND x.n >= e.a AND (e.b IS NULL OR x.n < e.b) GROUP BY e.r, e.a)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1 AS chunk_no, text FROM chunks WHERE text <> ''"""
+
+
+# The SQL knows three of the separators: the texts have no blank lines, and no word of 1000 letters.
+@query("chunk_documents", CHUNKS)
 def chunk_documents(spark, d):
     return c.chunk_documents(docs(spark, d))
 
@@ -185,23 +227,29 @@ def document_summaries(spark, d):
     return lib.document_summaries(pages)
 
 
-@query(
-    "search_pages",
-    r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(left(text, 50) || ' ' || text), '[\pL\pN]+') AS words FROM documents),
-        p AS (SELECT doc_id, len(words) AS dl, words FROM w),
+def bm25(pages: str, k: int) -> str:
+    """Ranking of ``pages`` (page_id, title, url, content) for the benchmark texts, as CTEs ending in ``ranked``."""
+    return rf"""pages_in AS ({pages}),
+        p AS (SELECT page_id, regexp_extract_all(lower(title || ' ' || content), '[\pL\pN]+') AS words, len(words) AS dl FROM pages_in),
         total AS (SELECT count(*)::double AS n, avg(dl) AS average FROM p),
         asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\pL\pN]+')) AS term FROM benchmark),
-        tf AS (SELECT doc_id, dl, term, count(*)::double AS tf FROM (SELECT doc_id, dl, unnest(words) AS term FROM p)
+        tf AS (SELECT page_id, dl, term, count(*)::double AS tf FROM (SELECT page_id, dl, unnest(words) AS term FROM p)
             WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
         idf AS (SELECT term, ln(1 + (any_value(n) - count(*) + 0.5::double) / (count(*) + 0.5::double)) AS idf FROM tf, total GROUP BY 1),
-        scored AS (SELECT item_id, doc_id, round(sum(idf * tf * 2.2::double
+        scored AS (SELECT item_id, page_id, round(sum(idf * tf * 2.2::double
                 / (tf + 1.2::double * (0.25::double + 0.75::double * dl / average))), 6) AS score
             FROM asked JOIN idf USING (term) JOIN tf USING (term), total GROUP BY 1, 2),
-        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored)
-        SELECT item_id AS query_id, rank, doc_id AS page_id, score, left(text, 50) AS title, 'https://docs/' || doc_id AS url,
-            CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS snippet
-        FROM ranked JOIN documents USING (doc_id) WHERE rank <= 5""",
-)
+        placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page_id) AS rank FROM scored),
+        ranked AS (SELECT item_id AS query_id, rank, page_id, score, title, url,
+            CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END AS snippet
+            FROM placed JOIN pages_in USING (page_id) WHERE rank <= {k})"""
+
+
+DOCUMENT_PAGES = "SELECT doc_id AS page_id, left(text, 50) AS title, 'https://docs/' || doc_id AS url, text AS content FROM documents"
+HTML_PAGES = "SELECT page_id, title, url, content FROM read_pages"
+
+
+@query("search_pages", f"WITH {bm25(DOCUMENT_PAGES, 5)} SELECT * FROM ranked")
 def search_pages(spark, d):
     pages = table(spark, d, "documents").select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit("https://docs/"), F.col("doc_id").cast("string")).alias("url"),
@@ -210,7 +258,7 @@ def search_pages(spark, d):
     return r.search_pages(questions(spark, d), pages)
 
 
-@query("search_html_pages")
+@query("search_html_pages", f"WITH {PARTS}, {bm25(HTML_PAGES, 10)} SELECT * FROM ranked")
 def search_html_pages(spark, d):
     return r.search_pages(questions(spark, d), table(spark, d, "pages"), k=20)
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import clip, short_id, size_kb
+from marginalia.session import broadcast_if_small, cut_lineage
 
 ID_LENGTH = 64
 SUMMARY_PAGES = 3
@@ -32,20 +33,28 @@ def _prefix(key: Column) -> Column:
 def get_documents(ids: DataFrame, registry: DataFrame, key: str = "key") -> DataFrame:
     """Documents by full id or by prefix; a prefix takes the first document registered.
 
-    The registry is keyed by the prefix lengths that were asked for (at most 65 of them)
-    and reduced to one document per prefix, so the lookup is an equi-join of unique keys.
+    The registry is keyed by the prefix lengths that were asked for, at most 65 of them, and
+    cut to the prefixes that were asked for, so the lookup is an equi-join that keeps one
+    small row per prefix.
     """
     asked = ids.select(F.col(key)).distinct().withColumn("prefix", _prefix(F.col(key)))
+    asked = cut_lineage(asked)
     lengths = [r[0] for r in asked.select(F.least(F.length("prefix"), F.lit(ID_LENGTH + 1))).distinct().collect()]
     if not lengths:
         lengths = [ID_LENGTH]
+    prefixes = broadcast_if_small(asked.select("prefix").distinct())
     first = (
-        registry.withColumn("size", F.explode(F.array(*[F.lit(n) for n in lengths])))
+        registry.select("id", "created_at", F.explode(F.array(*[F.lit(n) for n in lengths])).alias("size"))
         .filter(F.length("id") >= F.col("size"))
-        .groupBy(F.expr("left(id, size)").alias("prefix"))
-        .agg(F.min_by(F.struct(*registry.columns), F.struct("created_at", "id")).alias("doc"))
+        .select("id", "created_at", F.expr("left(id, size)").alias("prefix"))
+        .join(prefixes, "prefix", "left_semi")
+        .groupBy("prefix")
+        .agg(F.min(F.struct("created_at", "id")).alias("first"))
+        .select("prefix", F.col("first.id").alias("_id"), F.col("first.created_at").alias("_created_at"))
     )
-    return asked.join(first, "prefix").select(key, "doc.*")
+    found = asked.join(first, "prefix")
+    same = (F.col("_id") == F.col("id")) & F.col("_created_at").eqNullSafe(F.col("created_at"))
+    return found.join(registry, same).select(key, *registry.columns)
 
 
 def document_summaries(pages: DataFrame) -> DataFrame:
@@ -71,12 +80,16 @@ def resolve_hits(hits: DataFrame, registry: DataFrame) -> DataFrame:
     a document keeps its chunks when its file moves. Lookup tables have one row per key.
     """
     document, first = F.struct("id", "filename"), F.struct("created_at", "id")
+    # Written once: the hits both select from the registry and are joined with it.
+    hits = cut_lineage(hits)
     found = hits.withColumn("name", F.regexp_extract("source", r"([^/]+)/*$", 1))
     keys = {"source": "path", "name": "filename"}
     if "doc_id" in hits.columns:
         keys = {"doc_id": "id", **keys}
     for key, column in keys.items():
-        known = registry.groupBy(F.col(column).alias(key)).agg(F.min_by(document, first).alias(f"_{key}"))
+        wanted = found.select(F.col(key).alias(column)).distinct()
+        known = registry.join(wanted, column, "left_semi").groupBy(F.col(column).alias(key))
+        known = known.agg(F.min_by(document, first).alias(f"_{key}"))
         found = found.join(known, key, "left")
     match = F.coalesce(*[F.col(f"_{key}") for key in keys])
     return found.select(

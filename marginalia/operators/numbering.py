@@ -19,13 +19,13 @@ def number_rows(df: DataFrame, order: list[str], out: str, first: int = 1) -> Da
     sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = cut_lineage(
         sorted_rows.select(
-            "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")
+            "*", F.spark_partition_id().alias("_row_part"), F.monotonically_increasing_id().alias("_row_at")
         )
     )
-    per_part = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
-    offsets = per_part.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.join(F.broadcast(offsets), "_part").select(
-        *df.columns, (F.col("_before") + within + first).cast("bigint").alias(out)
+    per_part = placed.groupBy("_row_part").agg(F.count(F.lit(1)).alias("_row_n"))
+    before = F.sum("_row_n").over(W.orderBy("_row_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = per_part.select("_row_part", F.coalesce(before, F.lit(0)).alias("_row_before"))
+    within = F.col("_row_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(offsets), "_row_part").select(
+        *df.columns, (F.col("_row_before") + within + first).cast("bigint").alias(out)
     )

@@ -420,22 +420,27 @@ def fetch_outcomes(crawl_log: DataFrame) -> DataFrame:
 
     Input: url, attempt, status, error_type. Attempts after the deciding one do not count.
     """
-    log = crawl_log.withColumn("kind", attempt_class(F.col("status"), F.col("error_type")))
-    decided = F.col("kind") != "retryable"
-    per_url = log.groupBy("url").agg(
-        F.count_if(~decided).alias("retryable"),
+    kind = attempt_class(F.col("status"), F.col("error_type"))
+    decided = kind != "retryable"
+    deciding = F.when(decided, F.col("attempt"))
+    # Numbers only, so that the partial aggregation works in place.
+    per_url = crawl_log.groupBy("url").agg(
         F.count(F.lit(1)).alias("attempts"),
-        F.min_by(F.when(decided, F.struct("kind", "status")), F.when(decided, F.col("attempt"))).alias("end"),
+        F.count_if(~decided).alias("retryable"),
+        F.min(deciding).alias("end"),
+        F.min_by("status", deciding).alias("end_status"),
         F.max_by("status", "attempt").alias("last_status"),
     )
-    gave_up = F.col("end").isNull() & (F.col("retryable") >= MAX_ATTEMPTS)
+    ended = F.col("end").isNotNull()
     return per_url.select(
         "url",
         "attempts",
         "retryable",
-        F.coalesce("end.status", F.when(F.col("end").isNull(), F.col("last_status"))).alias("status"),
-        F.when(gave_up, F.lit("exhausted"))
-        .otherwise(F.coalesce("end.kind", F.lit("pending")))
+        F.when(ended, F.col("end_status")).otherwise(F.col("last_status")).alias("status"),
+        F.when(ended & F.col("end_status").eqNullSafe(200), F.lit("ok"))
+        .when(ended, F.lit("final"))
+        .when(F.col("retryable") >= MAX_ATTEMPTS, F.lit("exhausted"))
+        .otherwise(F.lit("pending"))
         .alias("outcome"),
     )
 
