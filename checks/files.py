@@ -122,22 +122,22 @@ def read_html_docs(spark, d):
     return fs.read_html_docs(fs.scan_files(spark, folder)).select("filename", "text")
 
 
+# Documents that are not German are registered again a day later, from another folder.
 @query(
     "read_registry",
-    """SELECT sha256(text) AS id, 'Doc_' || doc_id || '.TXT' AS filename, 'txt' AS type, strlen(text) AS size_bytes,
-        strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id), '%Y-%m-%d %H:%M:%S') AS created
-        FROM documents WHERE lang <> 'de'""",
+    """WITH r AS (SELECT sha256(text) AS id, 'Doc_' || doc_id || '.TXT' AS filename, '/data/' || source || '/' AS folder, doc_id AS n, text FROM documents
+            UNION ALL SELECT sha256(text), 'Doc_' || doc_id || '.TXT', '/new/', doc_id + 86400, text FROM documents WHERE lang <> 'de'),
+        newest AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC) AS back FROM r)
+        SELECT id, filename, folder || filename AS path, 'txt' AS type, strlen(text) AS size_bytes,
+        strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(n), '%Y-%m-%d %H:%M:%S') AS created FROM newest WHERE back = 1""",
 )
 def read_registry(spark, d):
-    folder = scratch(spark)
-    tb.write_registry(registry_of(table(spark, d, "documents")), folder)
-    # Written again from itself: readers take the newer state.
-    kept = tb.read_registry(spark, folder).join(
-        registry_of(table(spark, d, "documents").filter(F.col("lang") == "de")).select("path"), "path", "left_anti"
-    )
-    tb.write_registry(kept, folder)
+    folder, docs = scratch(spark), table(spark, d, "documents")
+    tb.write_registry(registry_of(docs), folder)
+    again = registry_of(docs.filter(F.col("lang") != "de")).withColumn("path", F.concat(F.lit("/new/"), "filename"))
+    tb.write_registry(again.withColumn("created_at", F.col("created_at") + F.make_dt_interval(days=F.lit(1))), folder)
     return tb.read_registry(spark, folder).select(
-        "id", "filename", "type", "size_bytes", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created")
+        "id", "filename", "path", "type", "size_bytes", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created")
     )
 
 

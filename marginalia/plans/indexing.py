@@ -1,7 +1,7 @@
 """Indexing files and answering queries from the index.
 
-An index folder holds ``registry`` (states, see sources.tables), ``chunks`` (Parquet,
-only ever appended to) and ``model`` (the fitted embedder).
+An index folder holds ``registry`` and ``chunks`` (Parquet, only ever appended to) and
+``model`` (the fitted embedder).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from marginalia.operators.library import resolve_hits
 from marginalia.operators.vectors import embed_text, few_hits, fit_embedder, load_embedder, save_embedder, search_topk
 from marginalia.session import cut_lineage
 from marginalia.sources.files import extract_pages
-from marginalia.sources.tables import REGISTRY_SCHEMA, exists, read_registry, write_registry
+from marginalia.sources.tables import exists, read_registry, write_registry
 
 CHUNK_SCHEMA = (
     "chunk_id string, doc_id string, source string, page_no int, chunk_no int, text string, vector array<float>"
@@ -77,8 +77,13 @@ def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, in
     found = listed.count()
     last = listed.groupBy("id").agg(F.max_by(F.struct(*[c for c in listed.columns if c != "id"]), "path").alias("f"))
     documents = last.select("id", "f.*")
-    known = read_chunks(spark, index).select(F.col("doc_id").alias("id")).distinct()
-    fresh = cut_lineage(documents.select("id", "path").join(known, "id", "left_anti"))
+
+    def with_chunks() -> DataFrame:
+        """Those of the listed ids that have chunks; only they are brought together."""
+        held = read_chunks(spark, index).select(F.col("doc_id").alias("id"))
+        return held.join(listed.select("id").distinct(), "id", "left_semi").distinct()
+
+    fresh = cut_lineage(documents.select("id", "path").join(with_chunks(), "id", "left_anti"))
     pages = extract_pages(
         _only(files, listed, fresh, found).select(
             content_id(F.col("content")).alias("doc_id"), F.col("path").alias("source"), "type", "content"
@@ -91,14 +96,12 @@ def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, in
         vectors = embed_text(keyed, "text", model).select(*[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
         # Sorted files let a look-up of a few ids skip most of them.
         vectors.sortWithinPartitions("chunk_id").write.mode("append").parquet(f"{index}/chunks")
-    with_chunks = read_chunks(spark, index).select(F.col("doc_id").alias("id")).distinct()
-    rows = documents.join(with_chunks, "id", "left_semi").select(
+    rows = documents.join(with_chunks(), "id", "left_semi").select(
         "id", "filename", "path", "type", F.lit(None).cast("string").alias("title"),
         F.current_timestamp().alias("created_at"), "size_bytes", "last_modified",
     )
     rows = cut_lineage(rows)
-    kept = read_registry(spark, index + "/registry").join(rows.select("id"), "id", "left_anti")
-    write_registry(kept.select(*REGISTRY_SCHEMA.names).unionByName(rows), index + "/registry")
+    write_registry(rows, index + "/registry")
     return {"found": found, "indexed": rows.count()}
 
 
@@ -117,8 +120,10 @@ def search_documents(queries: DataFrame, index: str, k: int = 5, embedder=None)
     chunks = read_chunks(spark, index)
     if model is None:
         chunks, model = chunks.limit(0), lambda texts: [[0.0] for _ in texts]
-    hits = rank_chunks(queries, chunks, k, model)
-    named = resolve_hits(hits, read_registry(spark, index + "/registry"))
+    hits = cut_lineage(rank_chunks(queries, chunks, k, model))
+    registry = read_registry(spark, index + "/registry")
+    asked = registry.join(hits.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
+    named = resolve_hits(hits, asked)
     return named.select(
         "query_id",
         "rank",

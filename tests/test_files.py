@@ -117,24 +117,35 @@ def test_search_table_finds_the_passage(spark):
     assert found[0].doc_id == 2 and found[0].source == "b" and len(found) == 3
 
 
-def test_registry_states(spark, tmp_path):
+def entry(name, path, day):
+    return (name, "f", path, "txt", None, dt.datetime(2024, 1, day), 3, None)
+
+
+def test_registry(spark, tmp_path):
     path = str(tmp_path / "registry")
     assert tb.read_registry(spark, path).count() == 0
-    row = ("i", "f", "p", "txt", None, dt.datetime(2024, 1, 1), 3, None)
-    tb.write_registry(spark.createDataFrame([row], tb.REGISTRY_SCHEMA), path)
-    tb.write_registry(tb.read_registry(spark, path).union(tb.read_registry(spark, path)), path)
-    assert tb.read_registry(spark, path).count() == 2 and tb.snapshots(spark, path) == [0, 1]
-    # An unfinished state does not count; a damaged one raises.
-    os.remove(f"{path}/snapshot-1/_SUCCESS")
-    assert tb.read_registry(spark, path).count() == 1
-    for name in os.listdir(f"{path}/snapshot-0"):
+    tb.write_registry(spark.createDataFrame([entry("i", "old", 1), entry("j", "only", 1)], tb.REGISTRY_SCHEMA), path)
+    tb.write_registry(spark.createDataFrame([entry("i", "new", 2)], tb.REGISTRY_SCHEMA), path)
+    assert {(r.id, r.path) for r in tb.read_registry(spark, path).collect()} == {("i", "new"), ("j", "only")}
+    for name in os.listdir(path):
         if name.endswith(".parquet"):
-            os.remove(f"{path}/snapshot-0/.{name}.crc")
-            open(f"{path}/snapshot-0/{name}", "w").write("broken")
+            os.remove(f"{path}/.{name}.crc")
+            open(f"{path}/{name}", "w").write("broken")
     with pytest.raises(Exception):
         tb.read_registry(spark, path).collect()
 
 
+def test_states(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), tb.REGISTRY_SCHEMA
+    assert tb.read_snapshot(spark, path, schema).count() == 0
+    tb.write_snapshot(spark.createDataFrame([entry("i", "p", 1), entry("j", "p", 1)], schema), path)
+    tb.write_snapshot(tb.read_snapshot(spark, path, schema).filter("id = 'i'"), path)
+    assert tb.read_snapshot(spark, path, schema).count() == 1 and tb.snapshots(spark, path) == [0, 1]
+    # An unfinished state does not count.
+    os.remove(f"{path}/snapshot-1/_SUCCESS")
+    assert tb.read_snapshot(spark, path, schema).count() == 2
+
+
 def test_summaries(spark, tmp_path):
     root = str(tmp_path / "s")
     long = "why " * 20
