@@ -141,6 +141,18 @@ def read_registry(spark, d):
     )
 
 
+@query(
+    "write_registry",
+    """SELECT sha256(text) AS id, '/data/' || source || '/Doc_' || doc_id || '.TXT' AS path, strlen(text) AS size_bytes FROM documents
+        UNION ALL SELECT sha256(text), '/new/Doc_' || doc_id || '.TXT', strlen(text) FROM documents WHERE lang <> 'de'""",
+)
+def write_registry(spark, d):
+    folder, docs = scratch(spark), table(spark, d, "documents")
+    tb.write_registry(registry_of(docs), folder)
+    tb.write_registry(registry_of(docs.filter(F.col("lang") != "de")).withColumn("path", F.concat(F.lit("/new/"), "filename")), folder)
+    return spark.read.parquet(folder).select("id", "path", "size_bytes")
+
+
 @query(
     "write_metrics",
     """SELECT event_type, round(avg(value), 6) AS avg_seconds, min(value) AS min_seconds, max(value) AS max_seconds,

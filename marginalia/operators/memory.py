@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.operators.numbering import number_rows
+from marginalia.sources.tables import read_snapshot, write_snapshot
 
 # The columns of each table with what a missing value becomes.
 DEFAULTS = {
@@ -77,6 +78,15 @@ def append_memory(
     return number_rows(shaped, order, "id", (top or 0) + 1).select(*memory_schema(kind).names)
 
 
+def save_memory(kind: str, table: DataFrame, path: str) -> str:
+    """Write the whole table as its new state, as after a deletion; it may be read from ``path``."""
+    return write_snapshot(table.select(*memory_schema(kind).names), path)
+
+
+def load_memory(spark: SparkSession, kind: str, path: str) -> DataFrame:
+    return read_snapshot(spark, path, memory_schema(kind))
+
+
 def read_memory(kind: str, table: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
     _defaults(kind)
     if isinstance(ids, DataFrame):

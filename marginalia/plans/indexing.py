@@ -13,7 +13,7 @@ from marginalia.functions.text import content_id
 from marginalia.operators.chunks import chunk_documents
 from marginalia.operators.library import resolve_hits
 from marginalia.operators.vectors import embed_text, few_hits, fit_embedder, load_embedder, save_embedder, search_topk
-from marginalia.session import cut_lineage
+from marginalia.session import cut_lineage, keep_listed
 from marginalia.sources.files import extract_pages
 from marginalia.sources.tables import exists, read_registry, write_registry
 
@@ -21,8 +21,6 @@ CHUNK_SCHEMA = (
     "chunk_id string, doc_id string, source string, page_no int, chunk_no int, text string, vector array<float>"
 )
 
-BROADCAST_PATHS = 500_000
-
 
 def chunk_id(doc_id: Column, page_no: Column, chunk_no: Column) -> Column:
     return F.concat_ws("-", doc_id, page_no.cast("string"), chunk_no.cast("string"))
@@ -49,19 +47,6 @@ def _embedder(index: str, chunks: DataFrame | None, spark: SparkSession, embedde
     return model
 
 
-def _only(files: DataFrame, listed: DataFrame, fresh: DataFrame, found: int) -> DataFrame:
-    """The files whose paths are in ``fresh``, tested against the shorter of the two path lists.
-
-    A short list is broadcast, so that contents stay where they are read.
-    """
-    wanted = fresh.count()
-    if wanted <= found - wanted:
-        paths, how, rows = fresh.select("path"), "left_semi", wanted
-    else:
-        paths, how, rows = listed.select("path").join(fresh, "path", "left_anti"), "left_anti", found - wanted
-    return files.join(F.broadcast(paths) if rows <= BROADCAST_PATHS else paths, "path", how)
-
-
 def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, int]:
     """Index files by content: new contents are chunked and embedded, known ones only re-registered.
 
@@ -74,7 +59,6 @@ def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, in
     listed = cut_lineage(
         files.select("path", "filename", "type", "size_bytes", "last_modified", content_id(F.col("content")).alias("id"))
     )
-    found = listed.count()
     last = listed.groupBy("id").agg(F.max_by(F.struct(*[c for c in listed.columns if c != "id"]), "path").alias("f"))
     documents = last.select("id", "f.*")
 
@@ -85,7 +69,7 @@ def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, in
 
     fresh = cut_lineage(documents.select("id", "path").join(with_chunks(), "id", "left_anti"))
     pages = extract_pages(
-        _only(files, listed, fresh, found).select(
+        keep_listed(files, listed, fresh, "path").select(
             content_id(F.col("content")).alias("doc_id"), F.col("path").alias("source"), "type", "content"
         )
     )
@@ -102,7 +86,7 @@ def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, in
     )
     rows = cut_lineage(rows)
     write_registry(rows, index + "/registry")
-    return {"found": found, "indexed": rows.count()}
+    return {"found": listed.count(), "indexed": rows.count()}
 
 
 def rank_chunks(queries: DataFrame, chunks: DataFrame, k: int = 5, embedder=None) -> DataFrame:
@@ -142,9 +126,10 @@ def search_table(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     Input: queries(query_id, text), docs(doc_id, text, source). Equal texts are one
     document, the one of the lowest doc_id.
     """
-    hashed = docs.select(content_id(F.col("text")).alias("content_id"), "doc_id")
-    first = hashed.groupBy("content_id").agg(F.min("doc_id").alias("doc_id"))
-    unique = docs.select("doc_id", "text", "source").join(first, "doc_id")
+    hashed = cut_lineage(docs.select(content_id(F.col("text")).alias("content_id"), "doc_id"))
+    first = cut_lineage(hashed.groupBy("content_id").agg(F.min("doc_id").alias("doc_id")))
+    unique = keep_listed(docs.select("doc_id", "text", "source"), hashed, first, "doc_id")
+    unique = unique.withColumn("content_id", content_id(F.col("text")))
     chunks = cut_lineage(chunk_documents(unique))
     model = fit_embedder(chunks, "text")
     keyed = chunks.withColumn("chunk_id", chunk_id(F.col("content_id"), F.lit(0), F.col("chunk_no")))

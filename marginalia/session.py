@@ -10,6 +10,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Narrow rows (an id, a path) up to this number may be broadcast, once they are counted.
+BROADCAST_ROWS = 500_000
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -62,11 +65,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only after counting, up to the bound, that the rows are few."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def keep_listed(rows: DataFrame, listed: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is in ``wanted``, a part of the unique keys in ``listed``.
+
+    The test is made against the shorter of the two possible lists, so that wide rows stay
+    where they are read as long as few keys are wanted, or few are not. Both lists should
+    be written tables, as they are counted.
+    """
+    n = wanted.count()
+    rest = listed.count() - n
+    if n <= rest:
+        keys, how, size = wanted.select(key), "left_semi", n
+    else:
+        keys, how, size = listed.select(key).join(wanted.select(key), key, "left_anti"), "left_anti", rest
+    return rows.join(F.broadcast(keys) if size <= BROADCAST_ROWS else keys, key, how)
+
+
 _shipped: set[tuple[str, str]] = set()
 
 

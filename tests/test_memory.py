@@ -73,6 +73,15 @@ def test_read_and_delete(spark, talk):
     assert gone == 0
 
 
+def test_states(spark, talk, tmp_path):
+    path = str(tmp_path / "conversation")
+    assert m.load_memory(spark, "conversation", path).count() == 0
+    m.save_memory("conversation", talk, path)
+    rest, _ = m.delete_memory("conversation", m.load_memory(spark, "conversation", path), spark.createDataFrame([(1,)], "id bigint"))
+    m.save_memory("conversation", rest, path)
+    assert sorted(r.id for r in m.load_memory(spark, "conversation", path).collect()) == [2, 3]
+
+
 def test_history(spark):
     said = [("user", "Hello"), ("assistant", "Hi there!"), ("user", "How are you?")]
     table = m.append_memory("conversation", rows(spark, *[{"session_id": "s", "role": r, "content": c} for r, c in said], {"session_id": "t"}))
