@@ -14,8 +14,8 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 
-# The same characters, and those of Python's \w, as they stand in a Java character class.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# The same characters, and those of Python's \w, inside a Java character class under (?U).
+SPACE = r"\s\x1c-\x1f"
 WORD = r"\p{L}\p{N}_"
 
 # File extension to language name; other extensions name themselves.
@@ -51,7 +51,7 @@ DATE_PATTERN = (
     r"\s+\d{1,2},\s+\d{4}\b"
 )
 
-HEADING_PATTERN = rf"(?md)^(#+)[{SPACE}]+(.+)$"
+HEADING_PATTERN = rf"(?mdU)^(#+)[{SPACE}]+(.+)$"
 MAX_QUERY_CHARS = 500
 
 
@@ -82,7 +82,7 @@ def content_id(content: Column) -> Column:
 
 def clean_extracted_text(text: Column) -> Column:
     """One space per white-space run, and words broken by a hyphen joined again."""
-    flat = F.regexp_replace(text, f"[{SPACE}]+", " ")
+    flat = F.regexp_replace(text, f"(?U)[{SPACE}]+", " ")
     return F.regexp_replace(flat, f"([{WORD}])- ([{WORD}]+)", "$1$2")
 
 
@@ -153,13 +153,13 @@ def date_mentions(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per written-out date, with its value (NULL for a day that does not exist)."""
     rest = [c for c in df.columns if c != text]
     found = df.select(*rest, F.posexplode(dates_in(F.col(text))).alias("pos", "mention"))
-    flat = F.regexp_replace("mention", f"[{SPACE}]+", " ")
+    flat = F.regexp_replace("mention", f"(?U)[{SPACE}]+", " ")
     return found.withColumn("date", F.try_to_timestamp(flat, F.lit("MMMM d, yyyy")).cast("date"))
 
 
 def slug(text: Column, size: int = 50) -> Column:
-    kept = F.regexp_replace(F.lower(text), f"[^{WORD}{SPACE}-]+", "")
-    return F.substring(F.regexp_replace(kept, f"[{SPACE}-]+", "_"), 1, size)
+    kept = F.regexp_replace(F.lower(text), f"(?U)[^{WORD}{SPACE}-]+", "")
+    return F.substring(F.regexp_replace(kept, f"(?U)[{SPACE}-]+", "_"), 1, size)
 
 
 def clip(text: Column, size: int, suffix: str = "...") -> Column:
@@ -199,7 +199,7 @@ def repair_json(reply: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     """Words times 1.3."""
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+")) * F.lit(1.3)
+    return F.regexp_count(text, F.lit(f"(?U)[^{SPACE}]+")) * F.lit(1.3)
 
 
 def shift_timestamps(

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import clip
+from marginalia.session import cut_lineage
 
 RESULTS_PER_LIST = 5
 PAGE_CHARS = 1500
@@ -87,7 +88,8 @@ def build_context(
     query has one row, ``part_no`` 0; only one with pages beyond ``pages_per_part``
     positions goes on in further rows, so that no text grows without bound.
     """
-    asked = queries.select("query_id").distinct()
+    # Written once, as every part of the context is cut to it.
+    asked = cut_lineage(queries.select("query_id").distinct())
     pages = pages.join(asked, "query_id", "left_semi")
     part = F.floor(F.col("position") / pages_per_part).cast("int")
 

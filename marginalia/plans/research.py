@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.operators.context import build_context
 from marginalia.operators.pages import allowed_pages, blocked_pages, content_column, frontier, title_column, with_dom
 from marginalia.operators.ranking import search_pages
+from marginalia.session import cut_lineage
 
 
 def research_contexts(
@@ -18,7 +19,7 @@ def research_contexts(
     Input: queries(query_id, text), pages(page_id, url, html), hits(query_id, rank, content,
     source), known(url). The allowlist is tested before any HTML is read again.
     """
-    results = search_pages(queries, pages)
+    results = cut_lineage(search_pages(queries, pages))
     if known is None:
         known = results.select("url").limit(0)
     todo = frontier(results, known, visits)

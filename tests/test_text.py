@@ -109,3 +109,9 @@ def test_clip_and_cap(one):
 def test_token_estimate(one):
     assert one("one two　three", t.token_estimate) == pytest.approx(3.9)
     assert one("", t.token_estimate) == 0
+
+
+def test_white_space_is_pythons(spark):
+    points = [*range(0x3100), 0xFEFF, 0x1F600]
+    found = spark.createDataFrame([(chr(i),) for i in points], "c string").filter(F.col("c").rlike(f"(?U)^[{t.SPACE}]$"))
+    assert {r.c for r in found.collect()} == {chr(i) for i in points if chr(i).isspace()} == set(t.WHITESPACE)
