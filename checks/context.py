@@ -28,7 +28,7 @@ FETCHED = f"""{PARTS}, fetched AS (SELECT page_id % (SELECT count(DISTINCT conv_
         || 'WARNING: This source could not be accessed and should not be cited or used as a reference.' || {NL} || {NL} END AS text
         FROM fetched)"""
 DOC_TEXT = f"""doc_text AS (SELECT query_id, string_agg('- ' || text || ' (Source: ' || source || ')' || {NL} || {NL}, '' ORDER BY doc_id) AS text
-    FROM (SELECT quality AS query_id, d.doc_id, left(text, 80) AS text, CASE WHEN lang = 'en' THEN 'Unknown' ELSE source END AS source,
+    FROM (SELECT quality AS query_id, d.doc_id, text, CASE WHEN lang = 'en' THEN 'Unknown' ELSE source END AS source,
         row_number() OVER (PARTITION BY quality ORDER BY d.doc_id) AS n FROM labels l JOIN documents d USING (doc_id)) WHERE n <= 5 GROUP BY 1)"""
 
 
@@ -52,7 +52,7 @@ def fetched(spark, d):
 def doc_hits(spark, d):
     joined = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id")
     return joined.select(
-        F.col("quality").cast("bigint").alias("query_id"), F.col("doc_id").alias("rank"), F.substring("text", 1, 80).alias("content"),
+        F.col("quality").cast("bigint").alias("query_id"), F.col("doc_id").alias("rank"), F.col("text").alias("content"),
         F.when(F.col("lang") != "en", F.col("source")).alias("source"),
     )
 
@@ -159,25 +159,24 @@ def validate_steps(spark, d):
     return steps.validate_steps(step_rows(spark, d)).select("step_no", "plan_id", "action", "reason", "valid")
 
 
+# The kind of an event says in which form the step was written; the last two forms are no steps.
 @query(
     "coerce_steps",
     f"""SELECT event_id AS step_no, {DUCK_ACTION} AS action,
-        CASE event_id % 5 WHEN 0 THEN CASE WHEN event_type = 'click' THEN 'query=some words' ELSE '' END
-            WHEN 1 THEN 'k=' || regexp_extract(props, '[0-9]+') ELSE '' END AS parameters,
-        CASE event_id % 5 WHEN 1 THEN 'because' ELSE '' END AS reasoning
-        FROM events WHERE event_id % 5 < 3""",
+        CASE event_type WHEN 'click' THEN 'query=some words' WHEN 'view' THEN 'k=' || regexp_extract(props, '[0-9]+') ELSE '' END AS parameters,
+        CASE event_type WHEN 'view' THEN 'because' ELSE '' END AS reasoning
+        FROM events WHERE event_type IN ('click', 'view', 'error')""",
 )
 def coerce_steps(spark, d):
-    n, props = F.col("event_id") % 5, F.col("props")
-    kind, action = F.col("event_type"), F.lit(None).cast("string")
+    kind, props, action = F.col("event_type"), F.col("props"), F.lit(None).cast("string")
     for k, a in zip(KINDS, ACTIONS):
         action = F.when(kind == k, F.lit(a)).otherwise(action)
     head = F.concat(F.lit('{"action": "'), action, F.lit('"'))
     raw = (
-        F.when(n == 0, F.concat(head, F.lit(', "parameters": "some words"}')))
-        .when(n == 1, F.concat(head, F.lit(', "parameters": '), props, F.lit(', "reasoning": "because"}')))
-        .when(n == 2, F.concat(head, F.lit(', "parameters": [1, 2]}')))
-        .when(n == 3, F.concat(F.lit("["), props, F.lit("]")))
+        F.when(kind == "click", F.concat(head, F.lit(', "parameters": "some words"}')))
+        .when(kind == "view", F.concat(head, F.lit(', "parameters": '), props, F.lit(', "reasoning": "because"}')))
+        .when(kind == "error", F.concat(head, F.lit(', "parameters": [1, 2]}')))
+        .when(kind == "signup", F.concat(F.lit("["), props, F.lit("]")))
         .otherwise(props)
     )
     done = steps.coerce_steps(table(spark, d, "events").select(F.col("event_id").alias("step_no"), raw.alias("step")))
@@ -211,10 +210,10 @@ def refine_plans(spark, d):
 @query(
     "timing_stats",
     """SELECT event_type, round(avg(value), 6) AS avg_seconds, min(value) AS min_seconds, max(value) AS max_seconds, count(*) AS total,
-        count(*) FILTER (user_id % 2 = 0) AS successful, round(avg(user_id), 6) AS avg_steps FROM events GROUP BY 1""",
+        count(*) FILTER (value < 30) AS successful, round(avg(user_id), 6) AS avg_steps FROM events GROUP BY 1""",
 )
 def timing_stats(spark, d):
-    runs = table(spark, d, "events").withColumn("ok", F.col("user_id") % 2 == 0)
+    runs = table(spark, d, "events").withColumn("ok", F.col("value") < 30)
     found = stats.timing_stats(runs, ["event_type"], "value", ok="ok", steps="user_id")
     return found.withColumn("avg_seconds", F.round("avg_seconds", 6)).withColumn("avg_steps", F.round("avg_steps", 6))
 

@@ -78,12 +78,12 @@ def read_text_docs(spark, d):
 
 @query(
     "read_csv_docs",
-    """SELECT 'doc_id: ' || doc_id || chr(10) || 'lang: ' || lang || chr(10) || 'text: ' || trim(left(text, 100), ' ' || chr(10))
+    """SELECT 'doc_id: ' || doc_id || chr(10) || 'lang: ' || lang || chr(10) || 'text: ' || trim(text, ' ' || chr(10) || chr(9))
         || chr(10) || 'n_chars: ' || n_chars AS text FROM documents""",
 )
 def read_csv_docs(spark, d):
     folder = scratch(spark)
-    docs = table(spark, d, "documents").select("doc_id", "lang", F.substring("text", 1, 100).alias("text"), "n_chars")
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text", "n_chars")
     docs.write.csv(folder, header=True, escape='"', quoteAll=True)
     return fs.read_csv_docs(spark, folder).select("text")
 

@@ -60,14 +60,14 @@ def append_memory(spark, d):
 
 @query(
     "append_memory_facts",
-    """SELECT row_number() OVER (ORDER BY doc_id) AS id, left(text, 40) AS fact,
+    """SELECT row_number() OVER (ORDER BY doc_id) AS id, text AS fact,
         CASE WHEN lang = 'de' THEN '' ELSE source END AS source,
         CASE WHEN lang = 'fr' THEN 1.0 ELSE n_chars / 8.0::double END AS confidence FROM documents""",
 )
 def append_memory_facts(spark, d):
     lang = F.col("lang")
     entry = F.create_map(
-        F.lit("fact"), F.substring("text", 1, 40),
+        F.lit("fact"), F.col("text"),
         F.lit("source"), F.when(lang != "de", F.col("source")),
         F.lit("confidence"), F.when(lang != "fr", (F.col("n_chars") / F.lit(8.0)).cast("string")),
     )

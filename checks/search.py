@@ -245,7 +245,7 @@ def bm25(pages: str, k: int) -> str:
             FROM placed JOIN pages_in USING (page_id) WHERE rank <= {k})"""
 
 
-DOCUMENT_PAGES = "SELECT doc_id AS page_id, left(text, 50) AS title, 'https://docs/' || doc_id AS url, text AS content FROM documents"
+DOCUMENT_PAGES = "SELECT doc_id AS page_id, source AS title, 'https://docs/' || doc_id AS url, text AS content FROM documents"
 HTML_PAGES = "SELECT page_id, title, url, content FROM read_pages"
 
 
@@ -253,7 +253,7 @@ HTML_PAGES = "SELECT page_id, title, url, content FROM read_pages"
 def search_pages(spark, d):
     pages = table(spark, d, "documents").select(
         F.col("doc_id").alias("page_id"), F.concat(F.lit("https://docs/"), F.col("doc_id").cast("string")).alias("url"),
-        F.substring("text", 1, 50).alias("title"), F.col("text").alias("content"),
+        F.col("source").alias("title"), F.col("text").alias("content"),
     )
     return r.search_pages(questions(spark, d), pages)
 

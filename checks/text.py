@@ -149,19 +149,20 @@ def cap_query(spark, d):
     return table(spark, d, "benchmark").select("item_id", t.cap_query(F.col("text")).alias("query"))
 
 
+# The kind of an event says what is wrong with the reply made from it.
 @query(
     "repair_json",
-    """SELECT event_id, CASE event_id % 5 WHEN 4 THEN '{}'
-        ELSE replace(CASE event_id % 5 WHEN 1 THEN '{"items":[' || props || ',' || props || ']}' ELSE props END, ' ', '')
+    """SELECT event_id, CASE event_type WHEN 'error' THEN '{}'
+        ELSE replace(CASE event_type WHEN 'view' THEN '{"items":[' || props || ',' || props || ']}' ELSE props END, ' ', '')
         END AS reply FROM events""",
 )
 def repair_json(spark, d):
-    props, n = F.col("props"), F.col("event_id") % 5
+    props, kind = F.col("props"), F.col("event_type")
     raw = (
-        F.when(n == 0, F.concat(F.lit("```json\n"), props, F.lit("\n```")))
-        .when(n == 1, F.concat(F.lit('{"items": ['), props, F.lit(" "), props, F.lit(",]}")))
-        .when(n == 2, F.regexp_replace(props, "}", ",}"))
-        .when(n == 3, F.concat(props, F.lit(" that is all")))
+        F.when(kind == "click", F.concat(F.lit("```json\n"), props, F.lit("\n```")))
+        .when(kind == "view", F.concat(F.lit('{"items": ['), props, F.lit(" "), props, F.lit(",]}")))
+        .when(kind == "signup", F.regexp_replace(props, "}", ",}"))
+        .when(kind == "purchase", F.concat(props, F.lit(" that is all")))
         .otherwise(F.concat(F.lit("not JSON "), props))
     )
     return table(spark, d, "events").select("event_id", F.to_json(t.repair_json(raw)).alias("reply"))
@@ -212,16 +213,18 @@ def size_kb(spark, d):
     return documents(spark, d).select("doc_id", t.size_kb(F.octet_length("text")).alias("size"))
 
 
+DUCK_MASK = """CASE WHEN length({0}) > 8 THEN left({0}, 4) || repeat('*', (length({0}) - 8)::int) || right({0}, 4)
+    ELSE repeat('*', length({0})::int) END"""
+
+
 @query(
     "mask_secret",
-    """WITH s AS (SELECT doc_id, left(text, (doc_id % 24)::int) AS secret FROM documents)
-        SELECT doc_id, CASE WHEN length(secret) > 8
-            THEN left(secret, 4) || repeat('*', (length(secret) - 8)::int) || right(secret, 4)
-            ELSE repeat('*', length(secret)::int) END AS masked FROM s""",
+    f"SELECT doc_id, {DUCK_MASK.format('text')} AS masked, {DUCK_MASK.format('source')} AS short_masked FROM documents",
 )
 def mask_secret(spark, d):
-    secret = F.substring("text", F.lit(1), (F.col("doc_id") % 24).cast("int"))
-    return documents(spark, d).select("doc_id", t.mask_secret(secret).alias("masked"))
+    return documents(spark, d).select(
+        "doc_id", t.mask_secret(F.col("text")).alias("masked"), t.mask_secret(F.col("source")).alias("short_masked")
+    )
 
 
 @query("url_host", r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages")
