@@ -1,0 +1,38 @@
+"""The queries of this subpackage, by name, with equivalent SQL where SQL can say it."""
+
+from __future__ import annotations
+
+import functools
+from collections.abc import Callable
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+
+from marginalia.session import ship
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, directory) under ``name``."""
+
+    def register(function):
+        if name in QUERIES:
+            raise ValueError(f"query {name!r} is registered twice")
+
+        @functools.wraps(function)
+        def run(spark: SparkSession, directory: str) -> DataFrame:
+            ship(spark, Path(__file__).resolve().parent.parent)
+            return function(spark, directory)
+
+        QUERIES[name] = run
+        if sql is not None:
+            ORACLE[name] = sql
+        return function
+
+    return register
+
+
+def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{directory}/{name}.parquet")
