@@ -7,20 +7,84 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.decontamination import contamination
+from marginalia.llm.extraction import extract_pages
+from marginalia.llm.language import fold, identify, learn
 from marginalia.llm.packing import pack_documents
+from marginalia.llm.quality import quality_scores
 from marginalia.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from marginalia.llm.sharding import shard_documents
 from marginalia.llm.token_files import read_token_files, write_token_files
+from marginalia.llm.vector_dedup import near_vectors
 from marginalia.session import checkpoint_dir
 
 SHARDS = 40
 
 
+DECONTAMINATION_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+item_words AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + 9], ' ') AS words
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item_words WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT size FROM windows),
+hits AS (
+  SELECT p.doc_id, p.i, p.size, windows.item_id
+  FROM (SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS words
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM words), sizes WHERE i + size - 1 <= len(w)) p
+  JOIN windows ON windows.words = p.words AND windows.size = p.size),
+covered AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM hits) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op2_benchmark_decontamination", DECONTAMINATION_SQL)
+def benchmark_decontamination(spark: SparkSession, directory: str) -> DataFrame:
+    return contamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 @query("op3_best_fit_packing")
 def best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     return pack_documents(table(spark, directory, "documents"))
 
 
+@query("op5_language_id")
+def language_id(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents").select("doc_id", "text", "lang")
+    net = learn(docs.where(fold("doc_id", 4) != 2))
+    guessed = identify(docs.select("doc_id", "text"), net)
+    return guessed.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op6_quality_classifier")
+def quality_classifier(spark: SparkSession, directory: str) -> DataFrame:
+    docs, labels = table(spark, directory, "documents"), table(spark, directory, "labels")
+    scored = quality_scores(docs.select("doc_id", "text"), labels.select("doc_id", "quality"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+@query("op7_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return near_vectors(table(spark, directory, "embeddings"))
+
+
+@query("op8_html_extraction")
+def html_extraction(spark: SparkSession, directory: str) -> DataFrame:
+    return extract_pages(table(spark, directory, "pages"))
+
+
 @query("op9_sharding")
 def sharding(spark: SparkSession, directory: str) -> DataFrame:
     placed = shard_documents(table(spark, directory, "documents"), SHARDS)
