@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from marginalia.llm.decontamination import contamination
 from marginalia.llm.extraction import extract_pages
 from marginalia.llm.language import fold, identify, learn
+from marginalia.llm.ngram_join import link_documents
 from marginalia.llm.packing import pack_documents
 from marginalia.llm.quality import quality_scores
 from marginalia.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from marginalia.llm.sharding import shard_documents
+from marginalia.llm.substring_dedup import repeated_passages
 from marginalia.llm.token_files import read_token_files, write_token_files
 from marginalia.llm.vector_dedup import near_vectors
 from marginalia.session import checkpoint_dir
@@ -21,6 +23,11 @@ from marginalia.session import checkpoint_dir
 SHARDS = 40
 
 
+@query("op1_substring_dedup")
+def substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
+    return repeated_passages(table(spark, directory, "documents"))
+
+
 DECONTAMINATION_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -60,6 +67,11 @@ def best_fit_packing(spark: SparkSession, directory: str) -> DataFrame:
     return pack_documents(table(spark, directory, "documents"))
 
 
+@query("op4_ngram_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, directory: str) -> DataFrame:
+    return link_documents(table(spark, directory, "documents"))
+
+
 @query("op5_language_id")
 def language_id(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents").select("doc_id", "text", "lang")
