@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -18,16 +19,23 @@ import pyarrow.compute as pc
 REMEMBERED_WORDS = 400_000
 # Longer words are encoded each time.
 REMEMBERED_LENGTH = 64
+# Bytes of text that are encoded in one step, or one text.
+AT_ONCE = 6_000_000
 
 _SPACE = r"\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(rf" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]")
 # Texts in which a space stands beside white space or at an end are cut by _CHUNK instead.
 _UNEVEN = r"[\s\x{85}\p{Z}] | [\s\x{85}\p{Z}]|^ | $"
-_PLAIN = re.compile(r" ?[!-~]+")
-# How the two kinds of tokenizers split printable ASCII.
-_SPACED_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+")
-_LOWER_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-z]+|[0-9]|[^ a-z0-9]+")
-_PROBES = ["Don't", "we'LL", "a1b22", "x--y.", "(3.5%)", "'sun", "~!@#", "It's"]
+# How the two kinds of tokenizers split printable ASCII and the accented letters of Latin-1.
+_LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(" ?[!-~À-ÖØ-öø-ÿ]+")
+_LINES = re.compile("( ?[!-~À-ÖØ-öø-ÿ]+\n)+[!-~À-ÖØ-öø-ÿ]+")
+_SPACED_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^ {_LETTER}0-9]+")
+_LOWER_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+_PROBES = ["Don't", "we'LL", "a1b22", "x--y.", "(3.5%)", "'sun", "~!@#", "It's", "Élan,", "«straße»ÿ", "é1", "on.\nThe", "a\nb,\nc"]
+# Byte-level vocabularies spell bytes as characters: printable ones as they are, the others from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
 def tokenizer_path(tokenizer: str) -> str:
@@ -39,6 +47,10 @@ def tokenizer_path(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"={len(ids)}I", *ids)
+
+
 class Encoder:
     def __init__(self, tokenizer: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,34 +61,30 @@ class Encoder:
         self.model = self.tokenizer.model
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.spaced = self.whole(" a") != self.whole("a")
-        self.memory: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        # Ids as bytes of unsigned 32-bit integers, which join fast and take little room.
+        self.memory: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.quick = True
         probes = [" " + p if self.spaced else p for p in _PROBES]
-        self.quick = all(self.chunk(p) == self.whole(p) for p in probes)
+        self.quick = all(self.chunk(p) == _packed(self.whole(p)) for p in probes)
         self.memory.clear()
         self.pieces.clear()
 
     def whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def chunk(self, text: str) -> list[int]:
+    def chunk(self, text: str) -> bytes:
         """Ids of a word with the space before it, or of a run of white space."""
         known = self.memory.get(text)
         if known is not None:
             return known
-        if not (self.quick and _PLAIN.fullmatch(text)):
-            ids = self.whole(text)
+        if self.quick and _LINES.fullmatch(text):
+            ids = self.chunk("\n").join(map(self.chunk, text.split("\n")))
+        elif not (self.quick and _PLAIN.fullmatch(text)):
+            ids = _packed(self.whole(text))
         else:
-            ids = []
             found = _SPACED_PIECES.findall(text) if self.spaced else _LOWER_PIECES.findall(text.lower())
-            for piece in found:
-                part = self.pieces.get(piece)
-                if part is None:
-                    part = [t.id for t in self.model.tokenize(piece.replace(" ", "Ġ"))]
-                    if len(piece) <= REMEMBERED_LENGTH:
-                        self.pieces[piece] = part
-                ids += part
+            ids = self.piece(found[0]) if len(found) == 1 else b"".join(map(self.piece, found))
         if len(text) <= REMEMBERED_LENGTH:
             if len(self.memory) >= REMEMBERED_WORDS:
                 self.memory.clear()
@@ -84,9 +92,26 @@ class Encoder:
             self.memory[text] = ids
         return ids
 
+    def piece(self, text: str) -> bytes:
+        known = self.pieces.get(text)
+        if known is None:
+            known = _packed([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_ALPHABET))])
+            if len(text) <= REMEMBERED_LENGTH:
+                self.pieces[text] = known
+        return known
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other (uint32), and where each text's begin, with the end."""
         texts = pc.fill_null(pa.array(texts, pa.string()), "")
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // AT_ONCE
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+        parts = [self._encode(texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if a < b]
+        if not parts:
+            return np.empty(0, np.uint32), np.zeros(1, np.int64)
+        counts = np.concatenate([np.diff(starts) for _, starts in parts])
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], np.cumsum(counts)])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         uneven = np.zeros(len(texts), bool)
         if self.spaced:
             uneven = pc.match_substring_regex(texts, _UNEVEN).to_numpy(zero_copy_only=False)
@@ -99,12 +124,12 @@ class Encoder:
         first = np.concatenate([[0], np.cumsum(n_words)])[:-1]
         if self.spaced:
             starts = [known[i] for i in number[first]]
-            ids = [self.chunk(" " + w) for w in known] + [self.chunk(w) if w else [] for w in starts]
+            ids = [self.chunk(" " + w) for w in known] + [self.chunk(w) if w else b"" for w in starts]
             number[first] = len(known) + np.arange(len(first))
         else:
-            ids = [self.chunk(w) if w else [] for w in known]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for part in ids for i in part), np.uint32, int(size.sum()))
+            ids = [self.chunk(w) if w else b"" for w in known]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
         place = np.concatenate([[0], np.cumsum(size)])[:-1]
         lengths = size[number]
         ends = np.cumsum(lengths)
@@ -116,7 +141,7 @@ class Encoder:
         parts = []
         for i, text in enumerate(texts.to_pylist()):
             if uneven[i]:
-                parts.append(np.array([t for c in _CHUNK.findall(text) for t in self.chunk(c)], np.uint32))
+                parts.append(np.frombuffer(b"".join(map(self.chunk, _CHUNK.findall(text))), np.uint32))
             else:
                 parts.append(out[by_text[i] : by_text[i + 1]])
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
