@@ -25,7 +25,7 @@ SHARDS = 40
 
 @query("op1_substring_dedup")
 def substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
-    return repeated_passages(table(spark, directory, "documents"))
+    return repeated_passages(table(spark, directory, "documents")).drop("cuts")
 
 
 DECONTAMINATION_SQL = r"""

@@ -1,0 +1,19 @@
+import pytest
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@pytest.fixture(scope="session")
+def documents(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+@pytest.fixture
+def docs_of(spark):
+    """Documents from (id, text) pairs, with columns whose names the operators use themselves."""
+
+    def make(*rows):
+        full = [(i, t, "en", "s", len(t or ""), 7, "x", [1]) for i, t in rows]
+        return spark.createDataFrame(full, DOCS + ", score int, component_id string, spans array<int>")
+
+    return make

@@ -1,0 +1,40 @@
+import zlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from marginalia.llm.sharding import place_of, shard_documents, shard_rows, write_shards
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 40, 1000, 4097])
+def test_places_are_a_permutation(spark, n):
+    rows = spark.range(n).select("id", place_of(F.col("id"), n, 5).alias("at")).collect()
+    assert sorted(r["at"] for r in rows) == list(range(n))
+    if n >= 1000:
+        assert sum(r["at"] == r["id"] for r in rows) < 20
+        other = {r["id"]: r["at"] for r in spark.range(n).select("id", place_of(F.col("id"), n, 6).alias("at")).collect()}
+        assert sum(other[r["id"]] == r["at"] for r in rows) < 20
+
+
+def test_shards(spark, docs_of):
+    rows = [(i, "é" * (i % 9)) for i in range(95)] + [(3, "again"), (3, "again"), (None, "x"), (4, None)]
+    found = shard_documents(docs_of(*rows), 40).collect()
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r["size"], r.text_crc32) for r in found) == sorted(
+        (i is not None, i or 0, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in rows
+    )
+    slots = {}
+    for r in found:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert set(slots) == set(range(40))
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {len(s) for s in slots.values()} <= {2, 3}
+    assert sorted(map(tuple, shard_documents(docs_of(*rows).repartition(3, "text"), 40).where("doc_id between 10 and 90").collect())) == sorted(
+        tuple(r) for r in found if r.doc_id is not None and 10 <= r.doc_id <= 90
+    )
+
+
+def test_no_rows_and_written_shards(spark, docs_of, tmp_path):
+    assert shard_documents(docs_of(), 40).collect() == []
+    placed = shard_rows(spark.range(100).withColumnRenamed("id", "doc_id").withColumn("shard", F.lit("old")), 4)
+    write_shards(placed, str(tmp_path / "s"))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "s")).select("doc_id", "shard", "slot").collect())) == sorted(map(tuple, placed.select("doc_id", "shard", "slot").collect()))
