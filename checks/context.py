@@ -82,20 +82,15 @@ def count_failures(spark, d):
     )
 
 
-# A query's pages lie a hundred numbers apart and more, so that queries have several rows.
 @query(
     "build_context",
     f"""WITH {RESULTS}, {SEARCH_TEXT}, {FETCHED}, {DOC_TEXT},
         queries AS (SELECT DISTINCT conv_id AS query_id FROM conversations UNION SELECT DISTINCT conv_id + 1000000 FROM conversations),
-        pieces AS (SELECT query_id, position // 100 AS part_no, string_agg(text, '' ORDER BY position) AS text FROM blocks GROUP BY 1, 2),
-        keys AS (SELECT query_id, 0 AS part_no FROM queries UNION SELECT query_id, part_no FROM pieces),
-        failed AS (SELECT query_id, count(*) FILTER (NOT ok) AS failures FROM blocks GROUP BY 1),
-        joined AS (SELECT k.query_id, k.part_no, coalesce(CASE WHEN k.part_no = 0 THEN s.text END, '') || coalesce(p.text, '') AS web,
-            d.text AS doc, f.failures FROM keys k LEFT JOIN search_text s USING (query_id) LEFT JOIN pieces p USING (query_id, part_no)
-            LEFT JOIN doc_text d USING (query_id) LEFT JOIN failed f USING (query_id))
-        SELECT query_id, part_no, CASE WHEN part_no = 0 AND web = '' THEN 'No web results available.' ELSE web END AS web_context,
-            CASE WHEN part_no = 0 THEN coalesce(doc, 'No document results available.') ELSE '' END AS doc_context,
-            coalesce(failures, 0) AS failures FROM joined""",
+        read AS (SELECT query_id, string_agg(text, '' ORDER BY position) AS text, count(*) FILTER (NOT ok) AS failures FROM blocks GROUP BY 1)
+        SELECT query_id, CASE WHEN s.text IS NULL AND r.text IS NULL THEN 'No web results available.'
+            ELSE coalesce(s.text, '') || coalesce(r.text, '') END AS web_context,
+            coalesce(d.text, 'No document results available.') AS doc_context, coalesce(r.failures, 0) AS failures
+        FROM queries LEFT JOIN search_text s USING (query_id) LEFT JOIN read r USING (query_id) LEFT JOIN doc_text d USING (query_id)""",
 )
 def build_context(spark, d):
     found = results(spark, d)
@@ -113,7 +108,7 @@ def build_context(spark, d):
         visited AS (SELECT query_id, string_agg('Webpage: ' || r.title || ' (Source: ' || r.url || ')' || {NL} || 'Content: '
             || CASE WHEN length(content) > 1500 THEN left(content, 1500) || '...' ELSE content END || {NL} || {NL}, '' ORDER BY rank) AS text
             FROM ranked r JOIN read_pages USING (page_id) WHERE rank <= 2 GROUP BY 1)
-        SELECT item_id AS query_id, 0 AS part_no, coalesce(l.text || v.text, 'No web results available.') AS web_context,
+        SELECT item_id AS query_id, coalesce(l.text || v.text, 'No web results available.') AS web_context,
             coalesce(d.text, 'No document results available.') AS doc_context, 0 AS failures
         FROM benchmark LEFT JOIN listed l ON l.query_id = item_id LEFT JOIN visited v ON v.query_id = item_id
             LEFT JOIN doc_text d ON d.query_id = item_id""",

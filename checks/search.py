@@ -86,9 +86,25 @@ def chunk_fixed(spark, d):
     return c.chunk_fixed(docs(spark, d))
 
 
-@query("embed_text")
+def embedded(source: str, key: str) -> str:
+    """CTE ``vectors``: non-zero weights of the texts of ``source`` by place, as stored in single precision."""
+    return rf"""places AS (SELECT {key}, ('0x' || left(md5(w), 7))::bigint % 256 AS place FROM (
+            SELECT {key}, unnest(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS w FROM {source})),
+        weights AS (SELECT {key}, place, 1 + ln(count(*)) AS weight FROM places GROUP BY 1, 2),
+        vectors AS (SELECT {key}, place, (weight / sqrt(sum(weight * weight) OVER (PARTITION BY {key})))::float::double AS weight FROM weights)"""
+
+
+@query(
+    "embed_text",
+    f"""WITH {embedded("documents", "doc_id")} SELECT doc_id, place, round(weight, 5) AS weight FROM vectors
+        UNION ALL SELECT doc_id, -1, round(sum(weight * weight), 5) FROM vectors GROUP BY 1""",
+)
 def embed_text(spark, d):
-    return v.embed_text(docs(spark, d), "text").select("doc_id", "vector")
+    vectors = v.embed_text(docs(spark, d), "text")
+    cells = vectors.select("doc_id", F.posexplode("vector").alias("place", "weight")).filter("weight > 0")
+    cells = cells.withColumns({"place": F.col("place").cast("bigint"), "weight": F.col("weight").cast("double")})
+    length = cells.groupBy("doc_id").agg(F.lit(-1).cast("bigint").alias("place"), F.sum(F.col("weight") * F.col("weight")).alias("weight"))
+    return cells.unionByName(length).withColumn("weight", F.round("weight", 5))
 
 
 def letter_counts(texts):
@@ -124,10 +140,25 @@ def search_topk(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("search_topk_approx")
+def approx_sql(length: float, tables: int, width: int, seed: int) -> str:
+    """Top-k of the pairs that share a bucket along one of the directions; exact for queries with fewer."""
+    lines = [", ".join(f"{x!r}::double" for x in column) for column in v.directions(width, tables, seed).T.tolist()]
+    buckets = ", ".join(
+        f"floor(list_sum(list_transform(list_zip(embedding, [{line}]), lambda p: p[1]::double * p[2])) / {length}::double)" for line in lines
+    )
+    return f"""WITH b AS (SELECT vec_id, embedding, [{buckets}] AS buckets FROM embeddings),
+        d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_bool_or(list_transform(list_zip(q.buckets, e.buckets), lambda p: p[1] = p[2])) AS met,
+            list_sum(list_transform(list_zip(q.embedding, e.embedding),
+            lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) AS score FROM b q, b e),
+        n AS (SELECT query_id, count(*) FILTER (met) AS n FROM d GROUP BY 1),
+        k AS (SELECT d.*, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM d JOIN n USING (query_id) WHERE met OR n < 5)
+        SELECT query_id, rank, id, round(score, 6) AS score FROM k WHERE rank <= 5"""
+
+
+@query("search_topk_approx", approx_sql(0.5, 6, 64, 42))
 def search_topk_approx(spark, d):
     vectors = embeddings(spark, d)
-    found = v.search_topk_approx(vectors.withColumnRenamed("id", "query_id"), vectors, bucket_length=0.5, tables=6)
+    found = v.search_topk_approx(vectors.withColumnRenamed("id", "query_id"), vectors, bucket_length=0.5, tables=6, seed=42)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -258,7 +289,7 @@ def search_pages(spark, d):
     return r.search_pages(questions(spark, d), pages)
 
 
-@query("search_html_pages", f"WITH {PARTS}, {bm25(HTML_PAGES, 10)} SELECT * FROM ranked")
+@query("search_html_pages", f"WITH {PARTS}, {bm25(HTML_PAGES, 20)} SELECT * FROM ranked")
 def search_html_pages(spark, d):
     return r.search_pages(questions(spark, d), table(spark, d, "pages"), k=20)
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import clip
 from marginalia.session import cut_lineage
 
+# How much of what is shown, and the texts of the blocks.
 RESULTS_PER_LIST = 5
 PAGE_CHARS = 1500
-PAGES_PER_PART = 100
 NO_WEB = "No web results available."
 NO_DOCUMENTS = "No document results available."
 
@@ -75,51 +75,41 @@ def count_failures(results: DataFrame) -> DataFrame:
     )
 
 
-def build_context(
-    queries: DataFrame,
-    results: DataFrame,
-    pages: DataFrame,
-    hits: DataFrame,
-    pages_per_part: int = PAGES_PER_PART,
-) -> DataFrame:
-    """Context rows per query: search list, pages in order, document hits, failures.
+def build_context(queries: DataFrame, results: DataFrame, pages: DataFrame, hits: DataFrame) -> DataFrame:
+    """One context row per query: search list, pages in order, document hits, failures.
 
-    ``pages`` has query_id and position (the step that fetched it, unique per query). A
-    query has one row, ``part_no`` 0; only one with pages beyond ``pages_per_part``
-    positions goes on in further rows, so that no text grows without bound.
+    ``pages`` has query_id and position (the step that fetched it); pages at one position are
+    ordered by their text. The text of a query holds all its pages, each clipped.
     """
     # Written once, as every part of the context is cut to it.
     asked = cut_lineage(queries.select("query_id").distinct())
     pages = pages.join(asked, "query_id", "left_semi")
-    part = F.floor(F.col("position") / pages_per_part).cast("int")
 
     def parts(texts: DataFrame, kind: str) -> DataFrame:
         return texts.join(asked, "query_id", "left_semi").select(
-            "query_id", F.lit(0).alias("part_no"), F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("position"), "text"
+            "query_id", F.lit(kind).alias("kind"), F.lit(0).cast("bigint").alias("position"), "text"
         )
 
-    blocks = format_page_context(pages.withColumn("part_no", part)).select(
-        "query_id", "part_no", F.lit("page").alias("kind"), F.col("position").cast("bigint").alias("position"), "text"
+    blocks = format_page_context(pages).select(
+        "query_id", F.lit("page").alias("kind"), F.col("position").cast("bigint").alias("position"), "text"
     )
-    # Every query has a first part, whatever was found for it.
+    # Every query has a row, whatever was found for it.
     rows = (
         parts(asked.withColumn("text", F.lit("")), "query")
         .unionByName(parts(format_search_context(results), "search"))
         .unionByName(parts(format_doc_context(hits), "document"))
         .unionByName(blocks)
     )
-    held = rows.groupBy("query_id", "part_no").agg(
+    held = rows.groupBy("query_id").agg(
         F.max(F.when(F.col("kind") == "search", F.col("text"))).alias("search"),
         F.max(F.when(F.col("kind") == "document", F.col("text"))).alias("document"),
         F.sort_array(F.collect_list(F.when(F.col("kind") == "page", F.struct("position", "text")))).alias("pages"),
     )
     failed = count_failures(pages.select("query_id", F.col("fetch_success").alias("success")))
     web = F.concat(_or("search", ""), F.array_join("pages.text", ""))
-    head = F.col("part_no") == 0
     return held.join(failed, "query_id", "left").select(
         "query_id",
-        "part_no",
-        F.when(head & (web == ""), F.lit(NO_WEB)).otherwise(web).alias("web_context"),
-        F.when(head, _or("document", NO_DOCUMENTS)).otherwise(F.lit("")).alias("doc_context"),
+        F.when(web == "", F.lit(NO_WEB)).otherwise(web).alias("web_context"),
+        _or("document", NO_DOCUMENTS).alias("doc_context"),
         F.coalesce("failures", F.lit(0)).alias("failures"),
     )

@@ -1,7 +1,7 @@
 """Indexing files and answering queries from the index.
 
-An index folder holds ``registry`` and ``chunks`` (Parquet, only ever appended to) and
-``model`` (the fitted embedder).
+An index folder holds ``registry`` and ``chunks`` (Parquet, only ever appended to). The
+default vectors are not learned, so it does not matter when a document was indexed.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.text import content_id
 from marginalia.operators.chunks import chunk_documents
 from marginalia.operators.library import resolve_hits
-from marginalia.operators.vectors import embed_text, few_hits, fit_embedder, load_embedder, save_embedder, search_topk
+from marginalia.operators.vectors import embed_text, few_hits, search_topk
 from marginalia.session import cut_lineage, keep_listed
 from marginalia.sources.files import extract_pages
 from marginalia.sources.tables import exists, read_registry, write_registry
@@ -33,20 +33,6 @@ def read_chunks(spark: SparkSession, index: str) -> DataFrame:
     return spark.read.schema(CHUNK_SCHEMA).parquet(path)
 
 
-def _embedder(index: str, chunks: DataFrame | None, spark: SparkSession, embedder=None):
-    """The index's own embedder, fitted on its first documents and kept from then on."""
-    if embedder is not None:
-        return embedder
-    path = f"{index}/model"
-    if exists(spark, path):
-        return load_embedder(path)
-    if chunks is None:
-        return None
-    model = fit_embedder(chunks, "text")
-    save_embedder(model, path)
-    return model
-
-
 def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, int]:
     """Index files by content: new contents are chunked and embedded, known ones only re-registered.
 
@@ -75,9 +61,8 @@ def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, in
     )
     chunks = cut_lineage(chunk_documents(pages.select("doc_id", "source", "page_no", "text")))
     if not chunks.isEmpty():
-        model = _embedder(index, chunks, spark, embedder)
         keyed = chunks.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("page_no"), F.col("chunk_no")))
-        vectors = embed_text(keyed, "text", model).select(*[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
+        vectors = embed_text(keyed, "text", embedder).select(*[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
         # Sorted files let a look-up of a few ids skip most of them.
         vectors.sortWithinPartitions("chunk_id").write.mode("append").parquet(f"{index}/chunks")
     rows = documents.join(with_chunks(), "id", "left_semi").select(
@@ -100,11 +85,7 @@ def rank_chunks(queries: DataFrame, chunks: DataFrame, k: int = 5, embedder=None
 def search_documents(queries: DataFrame, index: str, k: int = 5, embedder=None) -> DataFrame:
     """The k best chunks of the index for every query, with the document they belong to."""
     spark = queries.sparkSession
-    model = _embedder(index, None, spark, embedder)
-    chunks = read_chunks(spark, index)
-    if model is None:
-        chunks, model = chunks.limit(0), lambda texts: [[0.0] for _ in texts]
-    hits = cut_lineage(rank_chunks(queries, chunks, k, model))
+    hits = cut_lineage(rank_chunks(queries, read_chunks(spark, index), k, embedder))
     registry = read_registry(spark, index + "/registry")
     asked = registry.join(hits.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
     named = resolve_hits(hits, asked)
@@ -120,7 +101,7 @@ def search_documents(queries: DataFrame, index: str, k: int = 5, embedder=None)
     )
 
 
-def search_table(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
+def search_table(queries: DataFrame, docs: DataFrame, k: int = 5, embedder=None) -> DataFrame:
     """Search a table of documents directly: chunk, embed, rank, attach the document.
 
     Input: queries(query_id, text), docs(doc_id, text, source). Equal texts are one
@@ -131,9 +112,8 @@ def search_table(queries: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
     unique = keep_listed(docs.select("doc_id", "text", "source"), hashed, first, "doc_id")
     unique = unique.withColumn("content_id", content_id(F.col("text")))
     chunks = cut_lineage(chunk_documents(unique))
-    model = fit_embedder(chunks, "text")
     keyed = chunks.withColumn("chunk_id", chunk_id(F.col("content_id"), F.lit(0), F.col("chunk_no")))
-    hits = rank_chunks(queries, embed_text(keyed, "text", model), k, model)
+    hits = rank_chunks(queries, embed_text(keyed, "text", embedder), k, embedder)
     return hits.select(
         "query_id", "rank", "doc_id", "chunk_no", "source",
         F.round("score", 6).alias("score"), F.col("text").alias("content"),

@@ -38,14 +38,15 @@ def test_context(spark):
     assert rows[3].web_context == "No web results available." and rows[3].failures == 0
 
 
-def test_a_query_with_many_pages_loses_none(spark):
-    queries = spark.createDataFrame([(1,)], "query_id int")
-    pages = spark.createDataFrame([(1, n, f"p{n}", "u", "c", n % 2 == 0, None) for n in range(25)], PAGE)
-    rows = c.build_context(queries, spark.createDataFrame([], RESULT), pages, spark.createDataFrame([], HIT), pages_per_part=10)
-    rows = rows.orderBy("part_no").collect()
-    assert [r.part_no for r in rows] == [0, 1, 2] and {r.failures for r in rows} == {12}
-    whole = c.build_context(queries, spark.createDataFrame([], RESULT), pages, spark.createDataFrame([], HIT)).first()
-    assert "".join(r.web_context for r in rows) == whole.web_context
+def test_one_row_per_query(spark):
+    """However many pages there are, and wherever they stand."""
+    queries = spark.createDataFrame([(1,), (1,), (2,)], "query_id int")
+    pages = spark.createDataFrame([(1, n, f"p{n}", "u", "c", n % 2 == 0, None) for n in range(225)] + [(2, 250, "far", "u", "c", True, None)], PAGE)
+    rows = c.build_context(queries, spark.createDataFrame([], RESULT), pages, spark.createDataFrame([], HIT)).collect()
+    found = {r.query_id: r for r in rows}
+    assert len(rows) == 2 and found[1].failures == 112
+    assert found[1].web_context == "".join(r.text for r in c.format_page_context(pages.filter("query_id = 1")).orderBy("position").collect())
+    assert found[2].web_context == "Webpage: far (Source: u)\nContent: c\n\n"
 
 
 def test_count_failures(spark):

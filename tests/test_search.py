@@ -120,12 +120,26 @@ def test_approximate_hits_have_exact_distances(spark, points):
     assert len(best & {(q, i) for q, _, i, _ in found}) / len(best) >= 0.9
 
 
+def test_approximate_search_prunes_and_fills_up(spark, points, monkeypatch):
+    queries, vectors = frames(spark, points)
+    every = queries.count() * vectors.count()
+    whole = {(x.query_id, x.id) for x in v.bucket_pairs(queries, vectors, 1.0, 2, 1).collect()}
+    split = v.bucket_pairs(queries, vectors, 1.0, 2, 1, salted=10)
+    assert {(x.query_id, x.id) for x in split.collect()} == whole and split.count() == len(whole) < 0.6 * every
+    plan = split._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    narrow = v.search_topk_approx(queries, vectors, k=5, bucket_length=0.001, tables=1)
+    assert narrow.count() == 5 * queries.count()
+
+
 def test_embedding(spark):
     df = spark.createDataFrame([(1, "red apple"), (2, "Red apple!"), (3, "blue sky"), (4, None)], "id int, text string")
     rows = {x.id: np.array(x.vector) for x in v.embed_text(df, "text").collect()}
     assert len(rows[1]) == v.DIMENSIONS
     assert np.allclose(rows[1], rows[2]) and np.linalg.norm(rows[1]) == pytest.approx(1, abs=1e-6)
     assert rows[1] @ rows[3] < 0.5 and not rows[4].any()
+    alone = v.embed_text(df.filter("id = 3"), "text").first()
+    assert np.array_equal(alone.vector, rows[3])
     custom = v.embed_text(df, "text", lambda texts: [[len(x), 1] for x in texts])
     assert [list(x.vector) for x in custom.orderBy("id").collect()] == [[9, 1], [10, 1], [8, 1], [0, 1]]
 
@@ -155,7 +169,6 @@ def bm25(queries, pages, k):
 @pytest.mark.parametrize("small", [False, True])
 def test_search_pages(spark, monkeypatch, small):
     if small:
-        monkeypatch.setattr(r, "LITERAL_TERMS", 2)
         monkeypatch.setattr(v, "BLOCK_QUERIES", 1)
         monkeypatch.setattr(v, "PART_ITEMS", 5)
     rng = np.random.default_rng(3)
@@ -168,7 +181,7 @@ def test_search_pages(spark, monkeypatch, small):
         k=30,
     )
     rows = [(x.query_id, x.rank, x.page_id, round(x.score, 6)) for x in found.orderBy("query_id", "rank").collect()]
-    assert rows == bm25(queries, pages, 10)
+    assert rows == bm25(queries, pages, 30) and max(x[1] for x in rows) > 10
 
 
 def test_first_nonempty_source(spark):
