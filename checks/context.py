@@ -234,3 +234,27 @@ def parse_agent_log(spark, d):
         "event_id", F.date_format("logged_at", "yyyy-MM-dd HH:mm:ss").alias("logged_at"), "logger", "level", "message",
         F.col("fields")["user"].alias("user"), F.col("fields")["props"].alias("props"),
     )
+
+
+# A user's events are the steps of a reply: clicks search with a bare string, views ask, the others are no steps.
+@query(
+    "reply_steps",
+    """WITH s AS (SELECT user_id AS plan_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS step_no, event_type, event_id FROM events)
+        SELECT plan_id, string_agg(CASE event_type WHEN 'click' THEN step_no || ' search_web ' || event_id || ' why' ELSE step_no || ' ask_user  ' END,
+            '; ' ORDER BY step_no) AS steps FROM s WHERE event_type IN ('click', 'view') GROUP BY 1""",
+)
+def reply_steps(spark, d):
+    kind, number = F.col("event_type"), F.col("event_id").cast("string")
+    step = (
+        F.when(kind == "click", F.concat(F.lit('{"action": "search_web", "parameters": "'), number, F.lit('", "reasoning": "why"}')))
+        .when(kind == "view", F.lit('{"action": "ask_user", "parameters": [1]}'))
+        .when(kind == "error", F.lit('{"parameters": {}}'))
+        .otherwise(number)
+    )
+    listed = F.array_sort(F.collect_list(F.struct("event_id", step.alias("s"))))
+    replies = table(spark, d, "events").groupBy(F.col("user_id").alias("plan_id")).agg(listed.alias("l"))
+    text = F.concat(F.lit('```json\n{"steps": ['), F.array_join("l.s", ", "), F.lit(",]}\n```"))
+    found = steps.reply_steps(replies.select("plan_id", text.alias("reply")))
+    named = found.withColumn("action", F.concat(F.col("step_no").cast("string"), F.lit(" "), "action"))
+    shown = F.transform("steps", lambda x: F.concat(x["action"], F.lit(" "), F.coalesce(x["parameters"]["query"], F.lit("")), F.lit(" "), x["reasoning"]))
+    return steps.collect_plans(named).select("plan_id", F.array_join(shown, "; ").alias("steps"))

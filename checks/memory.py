@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import query, table
+from checks import query, scratch, table
 from marginalia.functions import text as t
 from marginalia.operators import memory as m
 
@@ -77,14 +77,19 @@ def append_memory_facts(spark, d):
     return m.append_memory("fact", rows, None, ["doc_id"]).select("id", "fact", "source", "confidence")
 
 
+def labelled_ids(spark, d):
+    """Ids of the first two turns of the conversations that have the number of a labelled document."""
+    first = F.explode(F.array(F.lit(0), F.lit(1)))
+    return table(spark, d, "labels").select("doc_id", first.alias("n")).select((F.col("doc_id") * 1000 + F.col("n")).alias("id"))
+
+
 @query(
     "read_memory",
     f"""WITH {MEMORY} SELECT id, said, session_id, role, content, (id % 1000)::varchar AS turn FROM mem
-        WHERE id IN (SELECT doc_id FROM labels)""",
+        WHERE id IN (SELECT doc_id * 1000 + n FROM labels, (VALUES (0), (1)) AS v(n))""",
 )
 def read_memory(spark, d):
-    asked = table(spark, d, "labels").select(F.col("doc_id").alias("id"))
-    return m.read_memory("conversation", memory(spark, d), asked).select(
+    return m.read_memory("conversation", memory(spark, d), labelled_ids(spark, d)).select(
         "id", F.unix_seconds("timestamp").alias("said"), "session_id", "role", "content", F.col("metadata")["n"].alias("turn")
     )
 
@@ -122,13 +127,51 @@ def conversation_history_latest(spark, d):
     return m.conversation_history(memory(spark, d), limit=3, latest=True)
 
 
-@query("delete_memory", f"WITH {MEMORY} SELECT id, role, content FROM mem WHERE id NOT IN (SELECT doc_id FROM labels)")
+@query("delete_memory", f"WITH {MEMORY} SELECT id, role, content FROM mem WHERE id NOT IN (SELECT doc_id * 1000 + n FROM labels, (VALUES (0), (1)) AS v(n))")
 def delete_memory(spark, d):
-    gone = table(spark, d, "labels").select(F.col("doc_id").alias("id"))
-    rest, _ = m.delete_memory("conversation", memory(spark, d), gone)
+    rest, _ = m.delete_memory("conversation", memory(spark, d), labelled_ids(spark, d))
     return rest.select("id", "role", "content")
 
 
+# Two appends, a deletion by number, and a third append whose ids go on behind the deleted ones.
+@query(
+    "stored_memory",
+    """WITH n AS (SELECT count(*) AS n FROM conversations),
+        a AS (SELECT 'a' AS part, row_number() OVER (ORDER BY conv_id, turn) AS id, text FROM conversations),
+        b AS (SELECT 'b' AS part, n + row_number() OVER (ORDER BY item_id) AS id, text FROM benchmark, n),
+        ab AS (SELECT * FROM a UNION ALL SELECT * FROM b),
+        c AS (SELECT 'c' AS part, (SELECT max(id) FROM ab) + row_number() OVER (ORDER BY item_id) AS id, text FROM benchmark)
+        SELECT id, text AS content FROM (SELECT * FROM ab WHERE id % 3 <> 0 AND id <> (SELECT max(id) FROM ab) UNION ALL SELECT * FROM c)""",
+)
+def stored_memory(spark, d):
+    path, now = scratch(spark), F.lit("2024-01-01").cast("timestamp").alias("timestamp")
+    said = table(spark, d, "conversations").select(now, F.create_map(F.lit("content"), F.col("text")).alias("entry"), "conv_id", "turn")
+    asked = table(spark, d, "benchmark").select(now, F.create_map(F.lit("content"), F.col("text")).alias("entry"), "item_id")
+    m.store_memory("conversation", said, path, ["conv_id", "turn"])
+    m.store_memory("conversation", asked, path, ["item_id"])
+    ids = m.load_memory(spark, "conversation", path).select("id")
+    last = ids.agg(F.max("id").alias("id"))
+    m.forget_memory("conversation", path, ids.filter(F.col("id") % 3 == 0).union(last))
+    m.store_memory("conversation", asked, path, ["item_id"])
+    return m.load_memory(spark, "conversation", path).select("id", "content")
+
+
+# Documents of every kind of memory, written and read again under the declared columns.
+@query(
+    "memory_schema",
+    """SELECT row_number() OVER (ORDER BY doc_id) AS id, 1704067200 AS said, source AS title, text AS content, '' AS url, 'lang=' || lang AS metadata
+        FROM documents""",
+)
+def memory_schema(spark, d):
+    path = scratch(spark)
+    entry = F.create_map(F.lit("title"), F.col("source"), F.lit("content"), F.col("text"), F.lit("lang"), F.col("lang"))
+    rows = table(spark, d, "documents").select(F.lit("2024-01-01").cast("timestamp").alias("timestamp"), entry.alias("entry"), "doc_id")
+    m.append_memory("document", rows, None, ["doc_id"]).write.parquet(path)
+    read = spark.read.schema(m.memory_schema("document")).parquet(path)
+    pairs = F.transform(F.map_entries("metadata"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return read.select("id", F.unix_seconds("timestamp").cast("int").alias("said"), "title", "content", "url", F.array_join(pairs, ",").alias("metadata"))
+
+
 @query(
     "results_to_memory",
     """SELECT 'document' AS kind, regexp_extract(url, '([^/]+)/*$', 1) AS name, html AS content, url AS source, NULL::double AS confidence FROM pages

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks import query, table
+from checks import query, scratch, table
 from marginalia.functions import text as t
 from marginalia.operators import pages as p
 
@@ -209,8 +209,9 @@ def analyze_pages(spark, d):
             CASE event_type WHEN 'purchase' THEN 'Timeout' END AS error_type FROM events),
         kinds AS (SELECT *, CASE WHEN status = 200 THEN 'ok' WHEN status IN (403, 429, 503) OR error_type IN ('ConnectionError', 'Timeout')
             THEN 'retryable' ELSE 'final' END AS kind FROM log),
-        per AS (SELECT url, count(*) AS attempts, count(*) FILTER (kind = 'retryable') AS retryable,
-            min(attempt) FILTER (kind <> 'retryable') AS end_attempt, max(attempt) AS last_attempt FROM kinds GROUP BY 1)
+        ends AS (SELECT url, min(attempt) AS end_attempt FROM kinds WHERE kind <> 'retryable' GROUP BY 1),
+        per AS (SELECT url, count(*) AS attempts, count(*) FILTER (kind = 'retryable') AS retryable, max(end_attempt) AS end_attempt,
+            max(attempt) AS last_attempt FROM kinds LEFT JOIN ends USING (url) WHERE end_attempt IS NULL OR attempt <= end_attempt GROUP BY 1)
         SELECT per.url, attempts, retryable, k.status AS status,
             CASE WHEN end_attempt IS NOT NULL THEN k.kind WHEN retryable >= 3 THEN 'exhausted' ELSE 'pending' END AS outcome
         FROM per JOIN kinds k ON k.attempt = coalesce(end_attempt, last_attempt)""",
@@ -230,13 +231,13 @@ def fetch_outcomes(spark, d):
 @query(
     "cached_pages",
     """WITH newest AS (SELECT user_id, max(ts) AS ts, max_by(event_id, ts) AS page FROM events
-            WHERE ts <= TIMESTAMP '2024-01-20 12:00:00' AND TIMESTAMP '2024-01-20 12:00:00' - ts <= INTERVAL 24 HOUR GROUP BY 1),
+            WHERE TIMESTAMP '2024-01-20 12:00:00' - ts <= INTERVAL 24 HOUR GROUP BY 1),
         asked AS (SELECT DISTINCT user_id FROM events UNION SELECT DISTINCT user_id + 1000000 FROM events)
         SELECT 'https://host/' || a.user_id AS url, n.page AS page, n.page IS NOT NULL AS hit FROM asked a LEFT JOIN newest n USING (user_id)""",
 )
 def cached_pages(spark, d):
     now = F.lit("2024-01-20 12:00:00").cast("timestamp_ntz")
-    events = table(spark, d, "events").filter(F.col("ts") <= now)
+    events = table(spark, d, "events")
     users = table(spark, d, "events").select("user_id").distinct()
 
     def url(user):
@@ -323,3 +324,18 @@ def documents_as_pages(spark, d):
     )
     asked = docs.select(path("/data/")).union(labels.select(path("/gone/")))
     return p.documents_as_pages(asked, held).select("path", "url", "title", "content", "size_bytes")
+
+
+# Two pages in three were fetched; they are stored, and all of them are asked for.
+@query(
+    "store_pages",
+    """WITH kept AS (SELECT url, max(length(html)) AS size FROM pages WHERE page_id % 3 <> 0 GROUP BY 1)
+        SELECT p.url, k.size AS size, k.size IS NOT NULL AS hit FROM (SELECT DISTINCT url FROM pages) p LEFT JOIN kept k USING (url)""",
+)
+def store_pages(spark, d):
+    now, path = F.lit("2024-01-20 12:00:00").cast("timestamp"), scratch(spark)
+    fetched = table(spark, d, "pages").withColumn("fetch_success", F.when(F.col("page_id") % 3 != 0, True))
+    p.store_pages(fetched.withColumn("size", F.length("html").cast("bigint")), path, now, "size")
+    cache = spark.read.parquet(path).groupBy("cache_key").agg(F.max("cached_at").alias("cached_at"), F.max("page").alias("page"))
+    found = p.cached_pages(fetched.select("url").distinct(), cache, now)
+    return found.select("url", F.col("page").alias("size"), "hit")

@@ -177,27 +177,88 @@ def question_files(spark, d):
     return folder
 
 
+def document_files(spark, d):
+    """The documents as files in a folder of their own."""
+    folder = scratch(spark)
+    number = F.col("doc_id").cast("string")
+    su.write_files(docs(spark, d).select(F.concat(F.lit("doc_"), number, F.lit(".txt")).alias("filename"), F.col("text").alias("content")), folder)
+    return folder
+
+
 @query(
     "index_documents",
-    """WITH f AS (SELECT sha256(text) AS id, max('item_' || item_id || '.txt') AS filename, any_value(strlen(text)) AS size_bytes
-            FROM benchmark WHERE trim(text) <> '' GROUP BY 1) SELECT id, filename, 'txt' AS type, size_bytes FROM f""",
+    """WITH f AS (SELECT sha256(text) AS id, max('doc_' || doc_id || '.txt') AS filename, any_value(strlen(text)) AS size_bytes
+            FROM documents WHERE trim(text) <> '' GROUP BY 1) SELECT id, filename, 'txt' AS type, size_bytes FROM f""",
 )
 def index_documents(spark, d):
     index = scratch(spark)
-    ix.index_documents(fs.scan_files(spark, question_files(spark, d)), index)
+    ix.index_documents(fs.scan_files(spark, document_files(spark, d)), index)
     return tb.read_registry(spark, f"{index}/registry").select("id", "filename", "type", "size_bytes")
 
 
-# A text is the nearest neighbour of its own chunk, at distance 0 of the same document.
+LETTERS = "list_transform(['a','e','i','o','u'], lambda x: (length(text) - length(replace(text, x, '')))::double)"
+
+
+def nearest(chunks: str, key: str, k: int) -> str:
+    """The k nearest of ``chunks`` (key, text) to every benchmark text by letter counts, ties by key."""
+    return f"""c AS (SELECT *, {LETTERS} AS vector FROM ({chunks})),
+        q AS (SELECT item_id, {LETTERS} AS wanted FROM benchmark),
+        scored AS (SELECT item_id, c.* EXCLUDE (vector), list_sum(list_transform(list_zip(vector, wanted), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS score
+            FROM q, c),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score, {key}) AS rank FROM scored),
+        nearest AS (SELECT * FROM placed WHERE rank <= {k})"""
+
+
+# A document's chunks under the id of its text; equal texts are one document.
+INDEXED = f"""SELECT DISTINCT sha256(d.text) AS document_id, sha256(d.text) || '-0-' || chunk_no AS chunk_id, c.text
+    FROM ({CHUNKS}) c JOIN documents d USING (doc_id)"""
+
+
 @query(
     "search_index",
-    """SELECT item_id AS query_id, 1 AS rank, sha256(text) AS document_id, text AS content, 0.0::double AS score FROM benchmark""",
+    f"""WITH {nearest(INDEXED, "chunk_id", 3)}, files AS (SELECT sha256(text) AS document_id, max('doc_' || doc_id || '.txt') AS filename
+            FROM documents GROUP BY 1)
+        SELECT item_id AS query_id, rank, document_id, filename, text AS content, score FROM nearest JOIN files USING (document_id)""",
 )
 def search_index(spark, d):
     index = scratch(spark)
-    ix.index_documents(fs.scan_files(spark, question_files(spark, d)), index)
-    found = ix.search_documents(questions(spark, d), index, k=1)
-    return found.select("query_id", "rank", "document_id", "content", F.round("score", 6).alias("score"))
+    ix.index_documents(fs.scan_files(spark, document_files(spark, d)), index, letter_counts)
+    found = ix.search_documents(questions(spark, d), index, k=3, embedder=letter_counts)
+    return found.select("query_id", "rank", "document_id", "filename", "content", "score")
+
+
+@query(
+    "search_documents_function",
+    f"""WITH {nearest(f"SELECT sha256(d.text) || '-0-' || chunk_no AS chunk_id, min(doc_id) AS doc_id, chunk_no, any_value(c.text) AS text FROM ({CHUNKS}) c JOIN documents d USING (doc_id) GROUP BY d.text, chunk_no", "chunk_id", 4)}
+        SELECT item_id AS query_id, rank, doc_id, chunk_no, text AS content, score FROM nearest""",
+)
+def search_documents_function(spark, d):
+    documents = table(spark, d, "documents").select("doc_id", "text", "source")
+    found = ix.search_table(questions(spark, d), documents, k=4, embedder=letter_counts)
+    return found.select("query_id", "rank", "doc_id", "chunk_no", "content", "score")
+
+
+# By whole id, by the short id of a list, and by a path that is known or not.
+@query(
+    "read_documents",
+    """WITH first AS (SELECT sha256(text) AS id, max('doc_' || doc_id || '.txt') AS filename, any_value(text) AS text FROM documents GROUP BY 1)
+        SELECT kind, id, filename, CASE WHEN length(text) > 1000 THEN left(text, 1000) || '...' ELSE text END AS summary
+        FROM first, (VALUES ('id'), ('short'), ('path')) AS k(kind)""",
+)
+def read_documents(spark, d):
+    folder, index = document_files(spark, d), scratch(spark)
+    ix.index_documents(fs.scan_files(spark, folder), index, letter_counts)
+    ident = F.sha2(F.col("text").cast("binary"), 256)
+    named = docs(spark, d).select(ident.alias("id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"))
+    place = F.concat(F.lit(folder.removeprefix("file://") + "/"), F.max("filename"))
+    keys = named.groupBy("id").agg(
+        F.map_from_arrays(
+            F.array(F.lit("id"), F.lit("short"), F.lit("path"), F.lit("lost")),
+            F.array(F.first("id"), F.concat(F.left(F.first("id"), F.lit(12)), F.lit("...")), place, F.lit("/nowhere/x.txt")),
+        ).alias("k")
+    )
+    keys = keys.select(F.explode("k").alias("kind", "key")).distinct()
+    return ix.read_documents(keys.select("key").distinct(), index).join(keys, "key").select("kind", "id", "filename", "summary")
 
 
 @query(

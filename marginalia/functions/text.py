@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The characters Python's str.strip() and str.split() treat as white space.
 WHITESPACE = (
@@ -172,6 +175,19 @@ def cap_query(text: Column, size: int = MAX_QUERY_CHARS) -> Column:
     return F.substring(text, 1, size)
 
 
+@F.arrow_udf(T.StringType())
+def _last_of_keys(texts: pa.Array) -> pa.Array:
+    """JSON texts written again, so that of a repeated key the last value stays; NULL for what is no JSON."""
+
+    def written(text):
+        try:
+            return None if text is None else json.dumps(json.loads(text), ensure_ascii=False, allow_nan=False)
+        except (ValueError, RecursionError):
+            return None
+
+    return pa.array([written(t) for t in texts.to_pylist()], pa.string())
+
+
 def repair_json(reply: Column) -> Column:
     """A model reply as a variant: fences, stray commas and cut tails are mended.
 
@@ -186,15 +202,20 @@ def repair_json(reply: Column) -> Column:
         whole = text.endswith("}") | text.endswith("]") | (F.instr(text, "}") <= 1)
         return F.when(whole, text).otherwise(F.regexp_extract(text, r"(?s)^.*\}", 0))
 
-    # Spark's parser stops after the first value; the closing member proves that all was read.
-    framed = F.try_parse_json(F.concat(F.lit('{"reply":'), bind(text, cut), F.lit(',"all_read":1}')))
-    parsed = bind(
-        framed,
-        lambda v: F.when(
-            F.try_variant_get(v, "$.all_read", "int").isNotNull(), F.try_variant_get(v, "$.reply", "variant")
-        ),
-    )
-    return F.coalesce(parsed, F.parse_json(F.lit("{}")))
+    def read(text: Column) -> Column:
+        # Spark's parser stops after the first value; the closing member proves that all was read.
+        framed = F.try_parse_json(F.concat(F.lit('{"reply":'), text, F.lit(',"all_read":1}')))
+        return bind(
+            framed,
+            lambda v: F.when(
+                F.try_variant_get(v, "$.all_read", "int").isNotNull(), F.try_variant_get(v, "$.reply", "variant")
+            ),
+        )
+
+    mended = bind(text, cut)
+    # Whether a repeated key is an error depends on the session; where it is, the last one is kept first.
+    unread = F.when(read(mended).isNull(), mended)
+    return F.coalesce(read(mended), read(_last_of_keys(unread)), F.parse_json(F.lit("{}")))
 
 
 def token_estimate(text: Column) -> Column:

@@ -31,7 +31,7 @@ def _prefix(key: Column) -> Column:
 
 
 def get_documents(ids: DataFrame, registry: DataFrame, key: str = "key") -> DataFrame:
-    """Documents by full id or by prefix; a prefix takes the first document registered.
+    """Documents by full id, by prefix, or by path; a prefix or path takes the first document registered.
 
     The registry is keyed by the prefix lengths that were asked for, at most 65 of them, and
     cut to the prefixes that were asked for, so the lookup is an equi-join that keeps one
@@ -52,7 +52,11 @@ def get_documents(ids: DataFrame, registry: DataFrame, key: str = "key") -> Data
         .agg(F.min(F.struct("created_at", "id")).alias("first"))
         .select("prefix", F.col("first.id").alias("_id"), F.col("first.created_at").alias("_created_at"))
     )
-    found = asked.join(first, "prefix")
+    paths = asked.select(F.col(key).alias("path")).filter(F.col("path").contains("/"))
+    by_path = registry.join(paths, "path", "left_semi").groupBy(F.col("path").alias(key))
+    by_path = by_path.agg(F.min(F.struct("created_at", "id")).alias("first"))
+    found = asked.filter(~F.col(key).contains("/")).join(first, "prefix").select(key, "_id", "_created_at")
+    found = found.unionByName(by_path.select(key, F.col("first.id").alias("_id"), F.col("first.created_at").alias("_created_at")))
     same = (F.col("_id") == F.col("id")) & F.col("_created_at").eqNullSafe(F.col("created_at"))
     return found.join(registry, same).select(key, *registry.columns)
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marginalia.operators.numbering import number_rows
-from marginalia.sources.tables import read_snapshot, write_snapshot
+from marginalia.session import broadcast_if_small, cut_lineage
+from marginalia.sources.tables import exists
 
 # The columns of each table with what a missing value becomes.
 DEFAULTS = {
@@ -78,13 +79,34 @@ def append_memory(
     return number_rows(shaped, order, "id", (top or 0) + 1).select(*memory_schema(kind).names)
 
 
-def save_memory(kind: str, table: DataFrame, path: str) -> str:
-    """Write the whole table as its new state, as after a deletion; it may be read from ``path``."""
-    return write_snapshot(table.select(*memory_schema(kind).names), path)
+def store_memory(kind: str, rows: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """Append new rows to the stored table; only they are written. Input as ``append_memory``.
+
+    ``path`` holds ``rows`` and the ids that were ``deleted``. Ids go on from the highest ever
+    given. One writer at a time.
+    """
+    spark = rows.sparkSession
+    known = spark.read.schema(memory_schema(kind)).parquet(f"{path}/rows").select("id") if exists(spark, f"{path}/rows") else None
+    append_memory(kind, rows, known, order).write.mode("append").parquet(f"{path}/rows")
 
 
 def load_memory(spark: SparkSession, kind: str, path: str) -> DataFrame:
-    return read_snapshot(spark, path, memory_schema(kind))
+    """The stored rows that were not deleted; none where nothing was stored. Damaged files raise."""
+    if not exists(spark, f"{path}/rows"):
+        return spark.createDataFrame([], memory_schema(kind))
+    rows = spark.read.schema(memory_schema(kind)).parquet(f"{path}/rows")
+    if not exists(spark, f"{path}/deleted"):
+        return rows
+    gone = spark.read.schema("id bigint").parquet(f"{path}/deleted").distinct()
+    return rows.join(broadcast_if_small(gone), "id", "left_anti")
+
+
+def forget_memory(kind: str, path: str, ids: DataFrame) -> int:
+    """Delete stored rows by id, and say how many there were. Only their ids are written."""
+    table = load_memory(ids.sparkSession, kind, path)
+    gone = cut_lineage(table.select("id").join(ids.select("id").distinct(), "id", "left_semi"))
+    gone.write.mode("append").parquet(f"{path}/deleted")
+    return gone.count()
 
 
 def read_memory(kind: str, table: DataFrame, ids: list[int] | DataFrame) -> DataFrame:
@@ -137,7 +159,7 @@ def conversation_history(
 
 
 def delete_memory(kind: str, table: DataFrame, ids: DataFrame) -> tuple[DataFrame, int]:
-    """The remaining rows, and how many of the ids existed. Write the rows as a new state."""
+    """The remaining rows of a table, and how many of the ids existed; ``forget_memory`` is for a stored one."""
     _defaults(kind)
     gone = ids.select("id")
     return table.join(gone, "id", "left_anti"), table.join(gone, "id", "left_semi").count()

@@ -421,14 +421,14 @@ def fetch_outcomes(crawl_log: DataFrame) -> DataFrame:
     Input: url, attempt, status, error_type. Attempts after the deciding one do not count.
     """
     kind = attempt_class(F.col("status"), F.col("error_type"))
-    decided = kind != "retryable"
-    deciding = F.when(decided, F.col("attempt"))
+    log = crawl_log.select("url", "attempt", "status", (kind != "retryable").alias("decided"))
+    ends = log.filter("decided").groupBy("url").agg(F.min("attempt").alias("end"))
+    counted = log.join(ends, "url", "left").filter(F.col("end").isNull() | (F.col("attempt") <= F.col("end")))
     # Numbers only, so that the partial aggregation works in place.
-    per_url = crawl_log.groupBy("url").agg(
+    per_url = counted.groupBy("url").agg(
         F.count(F.lit(1)).alias("attempts"),
-        F.count_if(~decided).alias("retryable"),
-        F.min(deciding).alias("end"),
-        F.min_by("status", deciding).alias("end_status"),
+        F.count_if(~F.col("decided")).alias("retryable"),
+        F.max("end").alias("end"),
         F.max_by("status", "attempt").alias("last_status"),
     )
     ended = F.col("end").isNotNull()
@@ -436,8 +436,8 @@ def fetch_outcomes(crawl_log: DataFrame) -> DataFrame:
         "url",
         "attempts",
         "retryable",
-        F.when(ended, F.col("end_status")).otherwise(F.col("last_status")).alias("status"),
-        F.when(ended & F.col("end_status").eqNullSafe(200), F.lit("ok"))
+        F.col("last_status").alias("status"),
+        F.when(ended & F.col("last_status").eqNullSafe(200), F.lit("ok"))
         .when(ended, F.lit("final"))
         .when(F.col("retryable") >= MAX_ATTEMPTS, F.lit("exhausted"))
         .otherwise(F.lit("pending"))
@@ -445,6 +445,18 @@ def fetch_outcomes(crawl_log: DataFrame) -> DataFrame:
     )
 
 
+def page_cache_rows(fetched: DataFrame, now: Column, page: str = "html") -> DataFrame:
+    """What the cache keeps of fetched pages: the successful ones, stamped. Input: url, fetch_success and the page's column."""
+    return fetched.filter(F.coalesce("fetch_success", F.lit(False))).select(
+        cache_key(F.col("url")).alias("cache_key"), now.alias("cached_at"), F.col(page).alias("page")
+    )
+
+
+def store_pages(fetched: DataFrame, path: str, now: Column, page: str = "html") -> None:
+    """Append successful pages to the cache; ``cached_pages`` takes the newest of a key."""
+    page_cache_rows(fetched, now, page).write.mode("append").parquet(path)
+
+
 def cached_pages(requests: DataFrame, cache: DataFrame, now: Column, ttl_hours: int = 24) -> DataFrame:
     """Requests with the newest cached page of their key, unless it is older than the TTL.
 

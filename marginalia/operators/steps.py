@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import repair_json
+
 # The allowed actions and the parameters each must have.
 REQUIRED = {
     "search_web": ["query"],
@@ -105,3 +107,23 @@ def refine_plans(plans: DataFrame) -> DataFrame:
     ).cast(f"array<{STEP}>")
     kept = kept.cast(f"array<{STEP}>")
     return plans.withColumn("steps", F.when(F.size(kept) > 0, kept).otherwise(fallback))
+
+
+def reply_steps(replies: DataFrame, reply: str = "reply") -> DataFrame:
+    """The steps of plans from the replies that hold them, mended and coerced.
+
+    Input: plan_id and the reply's text, an object with a list ``steps``; other replies give
+    no step. ``step_no`` counts from 0 over all members of the list.
+    """
+    read = replies.withColumn("_v", repair_json(F.col(reply)))
+    listed = F.try_variant_get("_v", "$.steps", "array<variant>")
+    rest = [c for c in replies.columns if c != reply]
+    return coerce_steps(read.select(*rest, F.posexplode(listed).alias("step_no", "_s")).select(*rest, "step_no", F.to_json("_s").alias("step")))
+
+
+def collect_plans(steps: DataFrame, key: str = "plan_id") -> DataFrame:
+    """One row per plan with its steps in order. Input: the key, step_no, action, parameters, reasoning."""
+    parts = F.collect_list(F.struct("step_no", "action", "parameters", "reasoning"))
+    placed = F.array_sort(parts, lambda a, b: F.signum(a["step_no"].cast("double") - b["step_no"]).cast("int"))
+    step = F.transform(placed, lambda s: F.struct(s["action"].alias("action"), s["parameters"].alias("parameters"), s["reasoning"].alias("reasoning")))
+    return steps.groupBy(key).agg(step.cast(f"array<{STEP}>").alias("steps"))

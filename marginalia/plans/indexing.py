@@ -1,6 +1,6 @@
 """Indexing files and answering queries from the index.
 
-An index folder holds ``registry`` and ``chunks`` (Parquet, only ever appended to). The
+An index folder holds ``registry``, ``pages`` and ``chunks`` (Parquet, only ever appended to). The
 default vectors are not learned, so it does not matter when a document was indexed.
 """
 
@@ -9,17 +9,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import content_id
+from marginalia.functions.text import code_imports, code_metadata, content_id
 from marginalia.operators.chunks import chunk_documents
-from marginalia.operators.library import resolve_hits
+from marginalia.operators.library import document_summaries, get_documents, resolve_hits
 from marginalia.operators.vectors import embed_text, few_hits, search_topk
-from marginalia.session import cut_lineage, keep_listed
-from marginalia.sources.files import extract_pages
+from marginalia.session import broadcast_if_small, cut_lineage, keep_listed
+from marginalia.sources.files import CODE_TYPES, extract_pages
 from marginalia.sources.tables import exists, read_registry, write_registry
 
 CHUNK_SCHEMA = (
-    "chunk_id string, doc_id string, source string, page_no int, chunk_no int, text string, vector array<float>"
+    "chunk_id string, doc_id string, source string, page_no int, chunk_no int, text string, metadata map<string,string>, vector array<float>"
 )
+CHUNK_COLUMNS = [part.split()[0] for part in CHUNK_SCHEMA.split(", ")]
+PAGE_SCHEMA = "doc_id string, source string, page_no int, text string, metadata map<string,string>"
 
 
 def chunk_id(doc_id: Column, page_no: Column, chunk_no: Column) -> Column:
@@ -33,11 +35,35 @@ def read_chunks(spark: SparkSession, index: str) -> DataFrame:
     return spark.read.schema(CHUNK_SCHEMA).parquet(path)
 
 
+def read_pages(spark: SparkSession, index: str) -> DataFrame:
+    path = f"{index}/pages"
+    if not exists(spark, path):
+        return spark.createDataFrame([], PAGE_SCHEMA)
+    return spark.read.schema(PAGE_SCHEMA).parquet(path)
+
+
+def page_metadata(pages: DataFrame) -> DataFrame:
+    """Add ``metadata``: for source files the language, size and imports, as strings."""
+    name = F.regexp_extract("source", r"([^/]+)$", 1)
+    is_code = F.col("type").isin(*CODE_TYPES)
+    read = code_imports(code_metadata(pages.select("*"), path="source").drop("filename"))
+    pairs = {
+        "language": F.col("language"), "filename": name, "line_count": F.col("line_count").cast("string"),
+        "file_size_bytes": F.col("file_size_bytes").cast("string"), "content_type": F.col("content_type"),
+        "imports": F.to_json("imports"),
+    }
+    held = F.create_map(*[part for key, value in pairs.items() for part in (F.lit(key), value)])
+    none = F.create_map().cast("map<string,string>")
+    metadata = F.when(is_code, F.map_filter(held, lambda _, v: v.isNotNull())).otherwise(none)
+    return read.select(*pages.columns, metadata.alias("metadata"))
+
+
 def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, int]:
     """Index files by content: new contents are chunked and embedded, known ones only re-registered.
 
     Input: path, filename, type, size_bytes, last_modified, content. Equal contents are one
-    document, under the last path. A file without text is not indexed.
+    document, under the last path. A file without text is not indexed. Whether a content is
+    known is looked up in the registry, which holds documents with chunks only.
     Returns the numbers of files found and of documents registered.
     """
     spark = files.sparkSession
@@ -46,26 +72,24 @@ def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, in
         files.select("path", "filename", "type", "size_bytes", "last_modified", content_id(F.col("content")).alias("id"))
     )
     last = listed.groupBy("id").agg(F.max_by(F.struct(*[c for c in listed.columns if c != "id"]), "path").alias("f"))
-    documents = last.select("id", "f.*")
-
-    def with_chunks() -> DataFrame:
-        """Those of the listed ids that have chunks; only they are brought together."""
-        held = read_chunks(spark, index).select(F.col("doc_id").alias("id"))
-        return held.join(listed.select("id").distinct(), "id", "left_semi").distinct()
-
-    fresh = cut_lineage(documents.select("id", "path").join(with_chunks(), "id", "left_anti"))
-    pages = extract_pages(
-        keep_listed(files, listed, fresh, "path").select(
-            content_id(F.col("content")).alias("doc_id"), F.col("path").alias("source"), "type", "content"
-        )
-    )
-    chunks = cut_lineage(chunk_documents(pages.select("doc_id", "source", "page_no", "text")))
+    documents = cut_lineage(last.select("id", "f.*"))
+    known = cut_lineage(read_registry(spark, index + "/registry", documents).select("id"))
+    fresh = cut_lineage(documents.select("id", "path").join(known, "id", "left_anti"))
+    # A file that has changed since it was listed is left for the next time.
+    named = fresh.select(F.col("id").alias("_id"), F.col("path").alias("_path"))
+    new = keep_listed(files, listed, fresh, "path").withColumn("doc_id", content_id(F.col("content")))
+    new = new.join(broadcast_if_small(named), (F.col("path") == F.col("_path")) & (F.col("doc_id") == F.col("_id")), "left_semi")
+    pages = extract_pages(new.select("doc_id", F.col("path").alias("source"), "type", "content"))
+    pages = cut_lineage(page_metadata(pages).select("doc_id", "source", "page_no", "text", "metadata"))
+    chunks = cut_lineage(chunk_documents(pages))
     if not chunks.isEmpty():
         keyed = chunks.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.col("page_no"), F.col("chunk_no")))
-        vectors = embed_text(keyed, "text", embedder).select(*[c.split()[0] for c in CHUNK_SCHEMA.split(", ")])
+        vectors = embed_text(keyed, "text", embedder).select(*CHUNK_COLUMNS)
+        pages.write.mode("append").parquet(f"{index}/pages")
         # Sorted files let a look-up of a few ids skip most of them.
         vectors.sortWithinPartitions("chunk_id").write.mode("append").parquet(f"{index}/chunks")
-    rows = documents.join(with_chunks(), "id", "left_semi").select(
+    held = known.union(chunks.select(F.col("doc_id").alias("id"))).distinct()
+    rows = documents.join(held, "id", "left_semi").select(
         "id", "filename", "path", "type", F.lit(None).cast("string").alias("title"),
         F.current_timestamp().alias("created_at"), "size_bytes", "last_modified",
     )
@@ -74,6 +98,20 @@ def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, in
     return {"found": listed.count(), "indexed": rows.count()}
 
 
+def read_documents(keys: DataFrame, index: str) -> DataFrame:
+    """Documents of the index with the beginning of their text, by id, prefix of an id, or path. Input: key."""
+    spark = keys.sparkSession
+    registry = cut_lineage(read_registry(spark, index + "/registry"))
+    found = get_documents(keys, registry)
+    pages = read_pages(spark, index).select("doc_id", "page_no", "text", "metadata")
+    mine = pages.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # A content that was indexed twice at a time has its pages twice.
+    mine = cut_lineage(mine.dropDuplicates(["doc_id", "page_no"]))
+    summaries = document_summaries(mine).withColumnRenamed("doc_id", "id")
+    metadata = mine.filter("page_no = 0").select(F.col("doc_id").alias("id"), "metadata")
+    return found.join(summaries, "id").join(metadata, "id").select("key", "id", "filename", "path", "type", "summary", "metadata")
+
+
 def rank_chunks(queries: DataFrame, chunks: DataFrame, k: int = 5, embedder=None) -> DataFrame:
     """The k nearest chunks of each query text. Input: queries(query_id, text), chunks(chunk_id, vector, ...)."""
     asked = embed_text(queries.select("query_id", "text"), "text", embedder)
@@ -86,9 +124,10 @@ def search_documents(queries: DataFrame, index: str, k: int = 5, embedder=None)
     """The k best chunks of the index for every query, with the document they belong to."""
     spark = queries.sparkSession
     hits = cut_lineage(rank_chunks(queries, read_chunks(spark, index), k, embedder))
-    registry = read_registry(spark, index + "/registry")
-    asked = registry.join(hits.select(F.col("doc_id").alias("id")).distinct(), "id", "left_semi")
-    named = resolve_hits(hits, asked)
+    registry = read_registry(spark, index + "/registry", hits.select(F.col("doc_id").alias("id")))
+    named = resolve_hits(hits, registry)
+    own = F.create_map(F.lit("source"), F.col("source"), F.lit("chunk_id"), F.col("chunk_id"))
+    none = F.create_map().cast("map<string,string>")
     return named.select(
         "query_id",
         "rank",
@@ -97,7 +136,7 @@ def search_documents(queries: DataFrame, index: str, k: int = 5, embedder=None)
         F.col("text").alias("content"),
         "score",
         F.col("page_no").alias("page_number"),
-        F.create_map(F.lit("source"), F.col("source"), F.lit("chunk_id"), F.col("chunk_id")).alias("metadata"),
+        F.map_concat(F.coalesce("metadata", none), own).alias("metadata"),
     )
 
 

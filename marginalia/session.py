@@ -21,8 +21,6 @@ SETTINGS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Pages and long documents are wide rows, so Arrow batches are kept short.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    # A reply may name a key twice; the last one counts.
-    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 
@@ -36,6 +34,13 @@ def session(app: str = "marginalia", master: str | None = None, **conf) -> Spark
     return builder.getOrCreate()
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme; one without is in Spark's default file system, for driver and executors alike."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return system.makeQualified(target).toString()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named in ``spark.checkpoint.dir``.
 

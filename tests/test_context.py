@@ -117,6 +117,19 @@ def test_coerce_steps(spark):
     }
 
 
+def test_reply_steps(spark):
+    replies = [
+        (1, '```json\n{"steps": [{"action": "search_web", "parameters": "q"}, 7, {"action": "ask_user", "action": "generate_summary"},]}\n```'),
+        (2, '[{"action": "ask_user"}]'), (3, '{"steps": {"action": "ask_user"}}'), (4, "no plan"), (5, None), (6, '{"steps": []}'),
+    ]
+    found = steps.reply_steps(spark.createDataFrame(replies, "plan_id int, reply string"))
+    rows = [(r.plan_id, r.step_no, r.action, r.parameters) for r in found.orderBy("step_no").collect()]
+    assert rows == [(1, 0, "search_web", {"query": "q"}), (1, 2, "generate_summary", {})]
+    (plan,) = steps.collect_plans(found.repartition(3, "step_no")).collect()
+    assert plan.plan_id == 1 and [s.action for s in plan.steps] == ["search_web", "generate_summary"]
+    assert steps.refine_plans(steps.collect_plans(found)).first().steps == plan.steps
+
+
 def test_refine_plans(spark):
     kind = f"plan_id int, steps array<{steps.STEP}>"
     plans = [(1, [("fly", {}, ""), ("search_web", {"query": "q"}, "why")]), (2, [("fly", {}, "")]), (3, [])]

@@ -63,9 +63,43 @@ def test_readers(spark, folder):
 
 
 def test_read_csv_docs(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('name,note\nAda,"two\nlines, ""q"""\nBob, x \n')
-    rows = [r.text for r in fs.read_csv_docs(spark, str(tmp_path / "a.csv")).collect()]
-    assert rows == ['name: Ada\nnote: two\nlines, "q"', "name: Bob\nnote: x"]
+    (tmp_path / "a.csv").write_text('name,note\nAda,"two\nlines, ""q"""\nBob, x \nCy,1,2,3\n')
+    (tmp_path / "b.csv").write_text("z,w\n8,9\n")
+    rows = [(r.path[-5:], r.page_no, r.text) for r in fs.read_csv_docs(spark, str(tmp_path)).orderBy("path", "page_no").collect()]
+    assert rows == [
+        ("a.csv", 0, 'name: Ada\nnote: two\nlines, "q"'),
+        ("a.csv", 1, "name: Bob\nnote: x"),
+        ("a.csv", 2, "name: Cy\nnote: 1\nNone: 2,3"),
+        ("b.csv", 0, "z: 8\nw: 9"),
+    ]
+    assert {(r.path[-5:], r.page_no, r.text) for r in fs.extract_pages(fs.scan_files(spark, str(tmp_path))).collect()} == set(rows)
+
+
+def test_names_are_taken_as_they_are(spark, tmp_path):
+    (tmp_path / "50%41+x.txt").write_text("a")
+    (row,) = fs.scan_files(spark, str(tmp_path)).collect()
+    assert row.filename == "50%41+x.txt" and row.path.endswith("/50%41+x.txt")
+
+
+def test_one_batch_or_many(spark, tmp_path):
+    """Scores do not depend on how documents arrived."""
+    texts = {"a.txt": "moon and sun", "b.txt": "moon moon tide", "c.py": "import os\nfrom sys import path\nmoon = 1\n"}
+    whole, split = str(tmp_path / "whole"), str(tmp_path / "split")
+    (tmp_path / "d").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "d" / name).write_text(text)
+        ix.index_documents(fs.scan_files(spark, str(tmp_path / "d")), split)
+    ix.index_documents(fs.scan_files(spark, str(tmp_path / "d")), whole)
+    asked = spark.createDataFrame([(1, "the moon")], "query_id int, text string")
+    one, many = ([(r.rank, r.filename, r.score) for r in ix.search_documents(asked, i).orderBy("rank").collect()] for i in (whole, split))
+    assert one == many and len(one) == 3
+    code = {r.filename: r.metadata for r in ix.search_documents(asked, whole).collect()}["c.py"]
+    assert code["language"] == "python" and code["line_count"] == "4" and code["imports"] == '["import os","from sys import path"]'
+    path = f"{tmp_path}/d/c.py"
+    keys = spark.createDataFrame([(path,), ("/lost/c.py",), ("zz",)], "key string")
+    (found,) = ix.read_documents(keys, whole).collect()
+    assert (found.key, found.filename, found.summary) == (path, "c.py", texts["c.py"]) and found.metadata["content_type"] == "code"
+    assert ix.read_documents(keys, str(tmp_path / "none")).count() == 0
 
 
 def test_index_and_search(spark, folder, tmp_path):
@@ -135,17 +169,6 @@ def test_registry(spark, tmp_path):
         tb.read_registry(spark, path).collect()
 
 
-def test_states(spark, tmp_path):
-    path, schema = str(tmp_path / "t"), tb.REGISTRY_SCHEMA
-    assert tb.read_snapshot(spark, path, schema).count() == 0
-    tb.write_snapshot(spark.createDataFrame([entry("i", "p", 1), entry("j", "p", 1)], schema), path)
-    tb.write_snapshot(tb.read_snapshot(spark, path, schema).filter("id = 'i'"), path)
-    assert tb.read_snapshot(spark, path, schema).count() == 1 and tb.snapshots(spark, path) == [0, 1]
-    # An unfinished state does not count.
-    os.remove(f"{path}/snapshot-1/_SUCCESS")
-    assert tb.read_snapshot(spark, path, schema).count() == 2
-
-
 def test_summaries(spark, tmp_path):
     root = str(tmp_path / "s")
     long = "why " * 20

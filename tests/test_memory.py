@@ -1,4 +1,5 @@
 import datetime as dt
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,13 +74,17 @@ def test_read_and_delete(spark, talk):
     assert gone == 0
 
 
-def test_states(spark, talk, tmp_path):
+def test_stored_memory(spark, tmp_path):
+    """New rows are appended, deletions are a table of ids, and numbers are never given twice."""
     path = str(tmp_path / "conversation")
     assert m.load_memory(spark, "conversation", path).count() == 0
-    m.save_memory("conversation", talk, path)
-    rest, _ = m.delete_memory("conversation", m.load_memory(spark, "conversation", path), spark.createDataFrame([(1,)], "id bigint"))
-    m.save_memory("conversation", rest, path)
-    assert sorted(r.id for r in m.load_memory(spark, "conversation", path).collect()) == [2, 3]
+    m.store_memory("conversation", rows(spark, {"content": "a"}, {"content": "b"}), path)
+    before = {f: (tmp_path / "conversation/rows" / f).stat().st_mtime_ns for f in os.listdir(f"{path}/rows") if f.endswith("parquet")}
+    ids = spark.createDataFrame([(2,), (2,), (9,)], "id bigint")
+    assert m.forget_memory("conversation", path, ids) == 1 and m.forget_memory("conversation", path, ids) == 0
+    m.store_memory("conversation", rows(spark, {"content": "c"}), path)
+    assert [(r.id, r.content) for r in m.load_memory(spark, "conversation", path).orderBy("id").collect()] == [(1, "a"), (3, "c")]
+    assert all((tmp_path / "conversation/rows" / f).stat().st_mtime_ns == t for f, t in before.items())
 
 
 def test_history(spark):
