@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from urllib.parse import urljoin
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -342,19 +343,30 @@ def _matcher(compound: str):
     return matches
 
 
-def _under(child: str, matches):
-    """Test that an element matches and stands below one of ``hits``."""
-
-    def test(node: Column) -> Column:
-        if child:
-            placed = F.exists("hits", lambda up: up["no"] == node["parent"])
-        else:
-            placed = F.exists(
-                "hits", lambda up: (up["no"] < node["no"]) & (node["no"] <= up["last_node"])
-            )
-        return matches(node) & placed
-
-    return test
+def _placed(children: list[bool]):
+    """Numbers of the elements that match the last step and stand below matches of the steps before."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def place(parents: pa.Array, lasts: pa.Array, *matches: pa.Array) -> pa.Array:
+        found = []
+        for i in range(len(parents)):
+            if not parents[i].is_valid:
+                found.append([])
+                continue
+            parent, last = (np.array(column[i].as_py(), np.int64) for column in (parents, lasts))
+            hit = np.array(matches[0][i].as_py(), bool)
+            for child, column in zip(children, matches[1:]):
+                if child:
+                    above = (parent >= 0) & hit[parent]
+                else:
+                    # Elements are in document order: how far the matches before an element reach.
+                    reach = np.maximum.accumulate(np.where(hit, last, -1))
+                    above = np.concatenate([[-1], reach[:-1]]) >= np.arange(len(hit))
+                hit = np.array(column[i].as_py(), bool) & above
+            found.append(np.flatnonzero(hit).tolist())
+        return pa.array(found, pa.list_(pa.int32()))
+
+    return place
 
 
 def select_text(pages: DataFrame, selector: str) -> DataFrame:
@@ -365,10 +377,12 @@ def select_text(pages: DataFrame, selector: str) -> DataFrame:
     steps = re.findall(r"(>?)\s*((?:\[[^\]]*\]|[^\s>\[])+)", selector.strip())
     if not steps or steps[0][0] or re.sub(r"\s", "", selector) != "".join(a + re.sub(r"\s", "", b) for a, b in steps):
         raise ValueError(f"selector not supported: {selector!r}")
-    found = _pages(pages).withColumn("hits", F.filter("dom.nodes", _matcher(steps[0][1])))
-    for child, compound in steps[1:]:
-        found = found.withColumn("hits", F.filter("dom.nodes", _under(child, _matcher(compound))))
-    texts = F.transform("hits", lambda n: strip(text_of(n)))
+    nodes = F.col("dom.nodes")
+    place = _placed([bool(child) for child, _ in steps[1:]])
+    matches = [F.transform(nodes, _matcher(compound)) for _, compound in steps]
+    hits = place(F.transform(nodes, lambda n: n["parent"]), F.transform(nodes, lambda n: n["last_node"]), *matches)
+    found = _pages(pages).withColumn("hits", hits)
+    texts = F.transform("hits", lambda i: strip(text_of(F.get(F.col("dom.nodes"), i))))
     return found.select("page_id", F.array_join(texts, "\n").alias("text"))
 
 

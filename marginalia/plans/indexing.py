@@ -13,7 +13,7 @@ from marginalia.functions.text import code_imports, code_metadata, content_id
 from marginalia.operators.chunks import chunk_documents
 from marginalia.operators.library import document_summaries, get_documents, resolve_hits
 from marginalia.operators.vectors import embed_text, few_hits, search_topk
-from marginalia.session import broadcast_if_small, cut_lineage, keep_listed
+from marginalia.session import broadcast_if_small, cut_lineage, keep_listed, temporary_tables
 from marginalia.sources.files import CODE_TYPES, extract_pages
 from marginalia.sources.tables import exists, read_registry, write_registry
 
@@ -66,6 +66,11 @@ def index_documents(files: DataFrame, index: str, embedder=None) -> dict[str, in
     known is looked up in the registry, which holds documents with chunks only.
     Returns the numbers of files found and of documents registered.
     """
+    with temporary_tables(files.sparkSession):
+        return _index(files, index, embedder)
+
+
+def _index(files: DataFrame, index: str, embedder) -> dict[str, int]:
     spark = files.sparkSession
     # Ids and paths are settled first; contents are never shuffled.
     listed = cut_lineage(

@@ -12,14 +12,14 @@ from marginalia.sources import files as fs
 from marginalia.sources import summaries as su
 from marginalia.sources import tables as tb
 
-TEXT = "This is a test document for verifying the document tool functionality."
+TEXT = "Salt is won from sea water in shallow ponds, where sun and wind dry it."
 
 
 @pytest.fixture
 def folder(tmp_path):
     root = tmp_path / "docs"
     (root / "below").mkdir(parents=True)
-    (root / "test_document.txt").write_text(TEXT)
+    (root / "salt.txt").write_text(TEXT)
     (root / "UPPER.TXT").write_bytes("café\r\nline".encode())
     (root / "broken.md").write_bytes(b"ok \xff\xfe end")
     (root / "data.json").write_text('{"b": [1, {"c": "ü"}], "a": null}')
@@ -37,7 +37,7 @@ def test_scan_files(spark, folder):
     rows = {r.filename: r for r in fs.scan_files(spark, folder).collect()}
     assert set(rows) == set(os.listdir(folder)) - {"below", "skip.exe", "empty.py"}
     assert rows["UPPER.TXT"].type == "txt" and rows["UPPER.TXT"].path == f"{folder}/UPPER.TXT"
-    assert rows["test_document.txt"].size_bytes == len(TEXT)
+    assert rows["salt.txt"].size_bytes == len(TEXT)
 
 
 def test_contents_are_read_only_when_used(spark, folder):
@@ -48,7 +48,7 @@ def test_contents_are_read_only_when_used(spark, folder):
 def test_readers(spark, folder):
     files = fs.scan_files(spark, folder)
     texts = {r.filename: r.text for r in fs.read_text_docs(files).collect()}
-    assert texts == {"test_document.txt": TEXT, "UPPER.TXT": "café\nline", "broken.md": "ok  end"}
+    assert texts == {"salt.txt": TEXT, "UPPER.TXT": "café\nline", "broken.md": "ok  end"}
     (page,) = fs.read_json_docs(files).collect()
     assert page.text == json.dumps({"b": [1, {"c": "ü"}], "a": None}, indent=2)
     assert [r.text for r in fs.read_html_docs(files).collect()] == ["T\n\nbody"]
@@ -105,12 +105,12 @@ def test_one_batch_or_many(spark, tmp_path):
 def test_index_and_search(spark, folder, tmp_path):
     index = str(tmp_path / "index")
     files = fs.scan_files(spark, folder)
-    questions = spark.createDataFrame([(1, "verifying the document tool"), (2, "name Ada")], "query_id int, text string")
+    questions = spark.createDataFrame([(1, "salt from sea water"), (2, "name Ada")], "query_id int, text string")
     assert ix.search_documents(questions, index).count() == 0
     assert ix.index_documents(files, index) == {"found": 8, "indexed": 6}
     rows = {r.filename: r for r in tb.read_registry(spark, index + "/registry").collect()}
-    assert set(rows) == {"test_document.txt", "UPPER.TXT", "broken.md", "data.json", "t.csv", "page.html"}
-    assert rows["test_document.txt"].id == hashlib.sha256(TEXT.encode()).hexdigest()
+    assert set(rows) == {"salt.txt", "UPPER.TXT", "broken.md", "data.json", "t.csv", "page.html"}
+    assert rows["salt.txt"].id == hashlib.sha256(TEXT.encode()).hexdigest()
 
     # The same again adds no chunk; a copy elsewhere moves its document; a new file is added.
     chunks = ix.read_chunks(spark, index).count()
@@ -120,7 +120,7 @@ def test_index_and_search(spark, folder, tmp_path):
         out.write("moon " * 500)
     assert ix.index_documents(fs.scan_files(spark, folder), index) == {"found": 10, "indexed": 7}
     rows = {r.filename: r for r in tb.read_registry(spark, index + "/registry").collect()}
-    assert "z_copy.txt" in rows and "test_document.txt" not in rows and len(rows) == 7
+    assert "z_copy.txt" in rows and "salt.txt" not in rows and len(rows) == 7
     assert ix.read_chunks(spark, index).count() == chunks + 3
 
     found = ix.search_documents(questions, index, k=2).orderBy("query_id", "rank").collect()

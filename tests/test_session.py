@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 
 from marginalia import session as se
@@ -34,3 +36,12 @@ def test_keep_listed(spark, monkeypatch, wanted, bound):
     listed = rows.select("k")
     kept = se.keep_listed(rows, listed, spark.createDataFrame([(k,) for k in wanted], "k bigint"), "k")
     assert sorted(r.v for r in kept.collect()) == [k * 10 for k in wanted]
+
+
+def test_temporary_tables_go(spark, tmp_path):
+    kept = se.cut_lineage(spark.range(2))
+    with se.temporary_tables(spark):
+        inner = se.cut_lineage(spark.range(3))
+        path = inner.inputFiles()[0]
+        assert inner.count() == 3
+    assert not Path(path.removeprefix("file://")).exists() and kept.count() == 2
