@@ -20,6 +20,7 @@ def extension():
 
 
 DUCK_EXTENSION = "[" + ",".join(f"'{e}'" for e in EXTENSIONS) + f"][(doc_id % {len(EXTENSIONS)})::int + 1]"
+# The names of languages.
 DUCK_LANGUAGE = (
     f"CASE {DUCK_EXTENSION} WHEN 'py' THEN 'python' WHEN 'js' THEN 'javascript' WHEN 'ts' THEN 'typescript'"
     " WHEN 'jsx' THEN 'javascript react' WHEN 'tsx' THEN 'typescript react' WHEN 'cpp' THEN 'c++'"

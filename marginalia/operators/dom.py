@@ -34,9 +34,11 @@ DOM_TYPE = from_arrow_type(_DOM)
 
 # Elements without an end tag.
 VOID_TAGS = frozenset(
-    "area base basefont bgsound br col command embed frame hr image img input isindex keygen link"
-    " menuitem meta nextid param source spacer track wbr".split()
-)
+    [
+        "area", "base", "basefont", "bgsound", "br", "col", "command", "embed", "frame", "hr", "image", "img", "input",
+        "isindex", "keygen", "link", "menuitem", "meta", "nextid", "param", "source", "spacer", "track", "wbr",
+    ]
+)
 # Text inside these is not page text.
 RAW_TAGS = frozenset(["script", "style", "template"])
 # Elements that are not page content.
@@ -57,7 +59,7 @@ NOISE_ATTRIBUTES = [
 ]
 # A new paragraph ends an open one unless one of these stands between them.
 PARAGRAPH_SCOPE = frozenset(
-    "li td th caption blockquote div section article main aside header footer nav form".split()
+    ["li", "td", "th", "caption", "blockquote", "div", "section", "article", "main", "aside", "header", "footer", "nav", "form"]
 )
 _SPACES = " \n\t\f\r"
 

@@ -34,6 +34,7 @@ from marginalia.operators.dom import (
 # A domain list up to this size becomes a literal set in the filter; a longer one is joined.
 LITERAL_DOMAINS = 20_000
 
+# What stands for a page that may not be read.
 ERROR_TITLE = "Access Error"
 ERROR_CONTENT = "This domain is not in the allowed domains list."
 
