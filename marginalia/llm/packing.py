@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.tokens import encoder, with_end
+from marginalia.llm.tokens import encoder, short_batches, with_end
 from marginalia.session import cut_lineage
 
 # Ranks among pieces of one length are counted in so many groups, so that a length that very
@@ -110,7 +110,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 0, w
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
-        for batch in batches:
+        for batch in short_batches(batches):
             ids, starts = with_end(*words.encode(batch["text"]), end)
             sizes = np.diff(starts)
             n = -(-sizes // capacity)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm.tokens import encoder, with_end
+from marginalia.llm.tokens import encoder, short_batches, with_end
 from marginalia.session import qualified
 
 _WRITTEN = "part int, docs bigint, tokens bigint"
@@ -61,9 +61,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_5
         kind = _token_type(words.vocabulary)
         kinds = ("tokens", "offsets", "docs")
         out, n_docs, n_tokens = {}, 0, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in short_batches(batches):
             if not out:
                 files.create_dir(base, recursive=True)
                 out = {k: files.open_output_stream(f"{base}/.{mark}.{k}") for k in kinds}

@@ -10,6 +10,7 @@ import functools
 import os
 import re
 import struct
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -147,6 +148,13 @@ class Encoder:
         return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
+def short_batches(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that less is held at a time."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
+
+
 @functools.lru_cache(maxsize=2)
 def encoder(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)
