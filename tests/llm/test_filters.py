@@ -189,6 +189,14 @@ def test_blocks(page, blocks):
     assert page_blocks(page)[0] == blocks
 
 
+def test_names_and_values_of_attributes():
+    kept = ['href="/hidden-valley"', "title='so hidden'", "alt=hidden", 'data-topic="hidden costs"', 'data-class="ad"', 'data-id=menu', "data-role='dialog'", 'href=/a/hidden', 'title="x id=menu"']
+    gone = ["hidden", "HIDDEN", 'hidden=""', "hidden = 'until-found'", 'title="x" hidden', 'class = "ad"', "id=menu", "href=/a/ hidden", "role='dialog'", 'aria-hidden="true"']
+    for tag in ("a", "p"):
+        assert [page_blocks(f"<article><{tag} {x}>text</{tag}></article>")[0] for x in kept] == [["text"]] * len(kept)
+        assert [page_blocks(f"<article><{tag} {x}>text</{tag}></article>")[0] for x in gone] == [[]] * len(gone)
+
+
 def test_pages(spark):
     body = "<div>All news of the day on one page for you all</div><p>Story {0} tells of {0} and only that, at some length.</p><p>Write to us at the usual place by Friday of the week</p>"
     rows = [(i, "http://a.example/x", body.format(f"n{i} m{i}")) for i in range(20)]
