@@ -4,8 +4,8 @@ A text's UTF-8 bytes are cut into windows of a fixed length. Bytes are embedded,
 several widths slide over them, the largest response of each filter is kept, and a softmax
 layer gives a probability per language; a text's probabilities are those of its windows'
 mean logits, weighted by their bytes. The network is trained in numpy, on the driver, on at
-most ``sample`` windows of labelled rows, the rows with the smallest hashes of their ids; every
-text is then read whole.
+most ``sample`` windows of labelled rows, of each language the rows with the smallest hashes of
+their ids, as many as its quota; every text is then read whole.
 
 A null text, or one without letters, is ``und`` with score 0. Rows without a language teach
 nothing; with no labelled row at all every text is ``und``. Repeated rows and ids keep all their
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -139,6 +140,15 @@ def byte_windows(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(joined, np.uint8).reshape(-1, WINDOW), of, sizes
 
 
+def quotas(sizes: dict[str, int], sample: int) -> dict[str, int]:
+    """Rows to take of each language: at most ``sample`` in all, rare languages whole, and one of each at least."""
+    found, left = {}, sample
+    for k, (lang, n) in enumerate(sorted(sizes.items(), key=lambda x: (x[1], x[0]))):
+        found[lang] = max(1, min(n, left // (len(sizes) - k)))
+        left -= found[lang]
+    return found
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE, seed: int = 0) -> ByteNet | None:
     """Train on at most ``sample`` rows of ``doc_id``, ``text``, ``lang``; None without any.
 
@@ -146,11 +156,17 @@ def learn(docs: DataFrame, sample: int = SAMPLE, seed: int = 0) -> ByteNet | Non
     """
     known = docs.where("lang is not null and length(text) > 0")
     start = 1 + F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1)
-    # Only rows below a cut come to be ordered at all, about a third more than are taken.
+    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if not sizes:
+        return None
+    # Only rows below a cut of their language come to be ordered at all, about a third more than are taken.
     places = F.pmod(F.xxhash64("doc_id"), F.lit(_PLACES))
-    cut = int(min(1, (1.3 * sample + 100) / max(1, docs.where("lang is not null").count())) * _PLACES)
-    rows = known.where(places < cut).select(F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("text"), "lang", places.alias("_h"))
-    rows = rows.orderBy("_h", "lang", "text").limit(sample).collect()
+    taken = [(lang, n, int(min(1, (1.3 * n + 100) / sizes[lang]) * _PLACES)) for lang, n in quotas(sizes, sample).items()]
+    taken = F.broadcast(docs.sparkSession.createDataFrame(taken, "lang string, _taken long, _cut long"))
+    rows = known.select(F.substring("text", start.cast("int"), F.lit(WINDOW)).alias("text"), F.col("lang").cast("string").alias("lang"), places.alias("_h"))
+    rows = rows.join(taken, "lang").where("_h < _cut")
+    rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("_h", "text"))).where("_rank <= _taken")
+    rows = rows.select("text", "lang", "_h").orderBy("_h", "lang", "text").collect()
     rows = [r for r in rows if has_letters(r.text)]
     if not rows:
         return None

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marginalia.llm import decontamination
 from marginalia.llm.decontamination import clean_documents, contamination, cut_spans
 from marginalia.llm.extraction import extract_pages, page_blocks
-from marginalia.llm.language import byte_windows, fold, identify, learn, train
+from marginalia.llm.language import byte_windows, fold, identify, learn, quotas, train
 from marginalia.llm.quality import isotonic, quality_scores, statistics
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -110,6 +110,13 @@ def test_language_of_odd_rows(spark, docs_of):
     assert identify(odd.limit(0), net).collect() == []
 
 
+def test_rare_languages_are_learned(spark, docs_of):
+    docs = docs_of(*[(i, ("der und die das " if i >= 1997 else "the and of that ") * 20) for i in range(2000)])
+    net = learn(docs.withColumn("lang", F.when(F.col("doc_id") >= 1997, "de").otherwise("en")), sample=40)
+    assert net.languages == ["de", "en"]
+    assert quotas({"a": 3, "b": 10**9, "c": 10**6}, 8000) == {"a": 3, "b": 3999, "c": 3998}
+
+
 def test_windows_hold_all_bytes():
     texts = ["a" * 128, "é" * 100, "x", "b" * 300]
     windows, of, sizes = byte_windows(texts)
