@@ -76,16 +76,18 @@ def temporary_tables(spark: SparkSession):
             target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, outlive: bool = False) -> DataFrame:
     """Write the rows to the shared folder and go on from there.
 
     The rows survive the loss of any executor, are computed once however often they are
-    used, and are read by column; their size is known to the optimizer.
+    used, and are read by column; their size is known to the optimizer. With ``outlive`` the
+    table is left to the scope of ``temporary_tables`` around the present one.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    scopes = _scopes[:-1] if outlive else _scopes
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
