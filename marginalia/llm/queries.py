@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.llm.centroids import CLUSTERS, ROUNDS, cluster_vectors
 from marginalia.llm.decontamination import contamination
+from marginalia.llm.divergence import source_divergence
 from marginalia.llm.extraction import extract_pages
 from marginalia.llm.language import fold, identify, learn
 from marginalia.llm.ngram_join import link_documents
@@ -16,6 +18,7 @@ from marginalia.llm.quality import quality_scores
 from marginalia.llm.registry import ORACLE, QUERIES, query, table  # noqa: F401
 from marginalia.llm.sharding import shard_documents
 from marginalia.llm.substring_dedup import repeated_passages
+from marginalia.llm.token_counts import count_tokens
 from marginalia.llm.token_files import read_token_files, write_token_files
 from marginalia.llm.vector_dedup import near_vectors
 from marginalia.session import checkpoint_dir
@@ -107,3 +110,67 @@ def sharding(spark: SparkSession, directory: str) -> DataFrame:
 def token_files(spark: SparkSession, directory: str) -> DataFrame:
     folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
     return read_token_files(spark, write_token_files(table(spark, directory, "documents"), folder))
+
+
+def _clustering_sql() -> str:
+    """Every round as three steps: distances, nearest centroids, floors of the means."""
+    steps = []
+    for n in range(ROUNDS + 1):
+        steps.append(f"""
+a{n} AS MATERIALIZED (SELECT r, k, d FROM (SELECT r, k, sum((v - c) * (v - c)) AS d FROM x JOIN c{n} USING (j) GROUP BY r, k)
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)""")
+        if n < ROUNDS:
+            steps.append(f"""
+c{n + 1} AS MATERIALIZED (SELECT k, j, coalesce(m, c) AS c FROM c{n} LEFT JOIN (
+  SELECT k, j, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS m
+  FROM (SELECT k, j, sum(v) AS s, count(*) AS n FROM a{n} JOIN x USING (r) GROUP BY k, j)) USING (k, j))""")
+    return f"""
+WITH e AS MATERIALIZED (SELECT vec_id, embedding, row_number() OVER () AS r FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+x AS MATERIALIZED (SELECT r, j, CAST(floor(256 * CAST(y AS DOUBLE)) AS BIGINT) AS v
+  FROM (SELECT r, unnest(range(64)) AS j, unnest(embedding) AS y FROM e)),
+first AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS k FROM e QUALIFY k < {CLUSTERS}),
+c0 AS MATERIALIZED (SELECT k, j, v AS c FROM first JOIN x USING (r)),{",".join(steps)},
+h AS (SELECT k, sha256(string_agg(c, ',' ORDER BY j)) AS centroid_sha256 FROM c{ROUNDS} GROUP BY k)
+SELECT vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{ROUNDS} JOIN e USING (r) JOIN h USING (k)"""
+
+
+@query("op11_centroid_clustering", _clustering_sql())
+def centroid_clustering(spark: SparkSession, directory: str) -> DataFrame:
+    return cluster_vectors(table(spark, directory, "embeddings"))
+
+
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS MATERIALIZED (SELECT r, lang, source, term, count(*) AS n FROM (
+  SELECT r, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d) GROUP BY ALL),
+kept AS MATERIALIZED (SELECT lang, term, sum(n) AS n FROM w GROUP BY ALL HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT g.lang, g.source, kept.term, coalesce(o.n, 0) AS n, kept.n AS of_lang FROM g JOIN kept USING (lang)
+  LEFT JOIN (SELECT lang, source, term, sum(n) AS n FROM w GROUP BY ALL) o ON o.lang = g.lang AND o.source = g.source AND o.term = kept.term),
+p AS MATERIALIZED (SELECT lang, source, term, c.n, CAST(1 + 1000000000::HUGEINT * (c.n + 2) // (sum(c.n) OVER (PARTITION BY lang, source) + 2 * v) AS BIGINT) AS p,
+  CAST(1 + 1000000000::HUGEINT * (of_lang + 2) // (total + 2 * v) AS BIGINT) AS q FROM c JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 10
+"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def divergence(spark: SparkSession, directory: str) -> DataFrame:
+    return source_divergence(table(spark, directory, "documents"))
+
+
+@query("op13_token_counts")
+def token_counts(spark: SparkSession, directory: str) -> DataFrame:
+    return count_tokens(table(spark, directory, "documents"))

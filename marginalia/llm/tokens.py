@@ -39,6 +39,11 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
 
 
+def byte_alphabet() -> dict[int, int]:
+    """The characters that stand for bytes where they are not printable, for ``str.translate``."""
+    return _ALPHABET
+
+
 def tokenizer_path(tokenizer: str) -> str:
     """A path as it is; a bare file name is one of the installed public vocabularies."""
     if "/" in tokenizer:
