@@ -8,6 +8,7 @@ from checks import query, scratch, table
 from checks.pages import PARTS, registry_of
 from marginalia.operators import chunks as c
 from marginalia.operators import library as lib
+from marginalia.operators import probes as pr
 from marginalia.operators import ranking as r
 from marginalia.operators import vectors as v
 from marginalia.plans import indexing as ix
@@ -140,25 +141,38 @@ def search_topk(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
-def approx_sql(length: float, tables: int, width: int, seed: int) -> str:
-    """Top-k of the pairs that share a bucket along one of the directions; exact for queries with fewer."""
-    lines = [", ".join(f"{x!r}::double" for x in column) for column in v.directions(width, tables, seed).T.tolist()]
-    buckets = ", ".join(
-        f"floor(list_sum(list_transform(list_zip(embedding, [{line}]), lambda p: p[1]::double * p[2])) / {length}::double)" for line in lines
-    )
-    return f"""WITH b AS (SELECT vec_id, embedding, [{buckets}] AS buckets FROM embeddings),
-        d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_bool_or(list_transform(list_zip(q.buckets, e.buckets), lambda p: p[1] = p[2])) AS met,
-            list_sum(list_transform(list_zip(q.embedding, e.embedding),
-            lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) AS score FROM b q, b e),
-        n AS (SELECT query_id, count(*) FILTER (met) AS n FROM d GROUP BY 1),
-        k AS (SELECT d.*, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM d JOIN n USING (query_id) WHERE met OR n < 5)
+APPROX = {"bucket_length": 0.15, "tables": 8, "projections": 4, "probes": 24, "seed": 42}
+
+
+def approx_sql(bucket_length: float, tables: int, projections: int, probes: int, seed: int, width: int = 64) -> str:
+    """Top-k of the pairs whose query looks into the bucket; exact for queries with fewer."""
+    lines = [
+        f"({t}, {i}, [" + ", ".join(f"{x!r}::double" for x in column) + "])"
+        for t, grid in enumerate((pr.directions(width, tables, projections, seed) / bucket_length).tolist())
+        for i, column in enumerate(zip(*grid))
+    ]
+    steps = ", ".join(f"(VALUES (-1), (0), (1)) AS s{i}(x{i})" for i in range(projections))
+    cost = " + ".join(f"CASE x{i} WHEN -1 THEN (p[{i + 1}] - floor(p[{i + 1}])) ** 2 WHEN 1 THEN (1 - p[{i + 1}] + floor(p[{i + 1}])) ** 2 ELSE 0 END" for i in range(projections))
+    moved = ", ".join(f"floor(p[{i + 1}]) + x{i}" for i in range(projections))
+    return f"""WITH g(t, i, along) AS (VALUES {", ".join(lines)}),
+        p AS MATERIALIZED (SELECT vec_id, t, list(list_sum(list_transform(list_zip(embedding, along), lambda z: z[1]::double * z[2])) ORDER BY i) AS p
+            FROM embeddings, g GROUP BY ALL),
+        looked AS (SELECT vec_id, t, [{moved}] AS cell, row_number() OVER (PARTITION BY vec_id, t ORDER BY {cost}) AS n FROM p, {steps}),
+        own AS (SELECT vec_id, t, list_transform(p, lambda x: floor(x)) AS cell FROM p),
+        met AS MATERIALIZED (SELECT DISTINCT a.vec_id AS query_id, o.vec_id AS id FROM looked a JOIN own o ON a.t = o.t AND a.cell = o.cell WHERE n <= {probes}),
+        n AS (SELECT e.vec_id AS query_id, count(met.id) AS n FROM embeddings e LEFT JOIN met ON met.query_id = e.vec_id GROUP BY 1),
+        d AS (SELECT q.vec_id AS query_id, e.vec_id AS id, list_sum(list_transform(list_zip(q.embedding, e.embedding),
+            lambda p: (p[1]::double - p[2]::double) * (p[1]::double - p[2]::double))) AS score
+            FROM embeddings q JOIN n ON n.query_id = q.vec_id CROSS JOIN embeddings e LEFT JOIN met ON met.query_id = q.vec_id AND met.id = e.vec_id
+            WHERE met.id IS NOT NULL OR n < 5),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, id) AS rank FROM d)
         SELECT query_id, rank, id, round(score, 6) AS score FROM k WHERE rank <= 5"""
 
 
-@query("search_topk_approx", approx_sql(0.5, 6, 64, 42))
+@query("search_topk_approx", approx_sql(**APPROX))
 def search_topk_approx(spark, d):
     vectors = embeddings(spark, d)
-    found = v.search_topk_approx(vectors.withColumnRenamed("id", "query_id"), vectors, bucket_length=0.5, tables=6, seed=42)
+    found = pr.search_topk_approx(vectors.withColumnRenamed("id", "query_id"), vectors, **APPROX)
     return found.withColumn("score", F.round("score", 6))
 
 

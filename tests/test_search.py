@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import chunks as c
 from marginalia.operators import library as lib
+from marginalia.operators import probes as pr
 from marginalia.operators import ranking as r
 from marginalia.operators import vectors as v
 
@@ -111,25 +112,73 @@ def test_search_topk_edges(spark, points):
     assert [int(x[2][1:]) for x in found] == [x[2] for x in brute(*rounded(points), 2)]
 
 
-def test_approximate_hits_have_exact_distances(spark, points):
-    queries, vectors = points
-    exact = {(q, i): s for q, _, i, s in brute(*rounded(points), len(vectors))}
-    found = listed(v.search_topk_approx(*frames(spark, points), k=5, bucket_length=4.0, tables=6))
-    assert all(exact[q, i] == s for q, _, i, s in found)
-    best = {(q, i) for q, _, i, _ in brute(*rounded(points), 5)}
+def test_cells_leave_out_what_cannot_be_near(spark, monkeypatch):
+    """Many queries over clustered vectors: exact, with most parts never visited, no vector at two places."""
+    rng = np.random.default_rng(4)
+    middles = rng.normal(size=(20, 8)) * 20
+    vectors = [(i, (middles[i % 20] + rng.normal(size=8)).round(2).tolist()) for i in range(600)]
+    queries = [(i, (middles[i % 20] + rng.normal(size=8)).round(2).tolist()) for i in range(100)]
+    for name, value in {"BLOCK_QUERIES": 7, "PART_ITEMS": 25, "PIVOTS": 40, "MEETING_QUERIES": 30}.items():
+        monkeypatch.setattr(v, name, value)
+    asked, have = frames(spark, (queries, vectors))
+    # Single precision on both sides.
+    points = [[(i, [float(np.float32(x)) for x in p]) for i, p in side] for side in (queries, vectors)]
+    assert listed(v.search_topk(asked, have, k=6)) == brute(*points, 6)
+    cells = v.Cells(have)
+    home = cells.home(asked)
+    first = v.best_hits(v.meet(cells.in_parts(), home, ["cell", "part"], v.distances, 6, v.hit_schema(asked, have)), 6)
+    reach = first.where("rank = 6").select("query_id", F.col("score").alias("reach"))
+    visits = cells.within_reach(home.join(reach, "query_id", "left").na.fill(float("inf"), ["reach"])).count() + len(queries)
+    assert cells.in_parts().count() == len(vectors)
+    assert visits < 0.25 * sum(cells.parts.values()) * len(queries)
+
+
+def test_nearest_cells_are_the_cheapest():
+    import itertools
+
+    rng = np.random.default_rng(2)
+    for n, probes in ((1, 3), (3, 9), (4, 30), (3, 100)):
+        within = rng.random(n)
+        cost = lambda steps: sum(within[i] ** 2 if step < 0 else (1 - within[i]) ** 2 for i, step in steps)
+        every = [[(i, x) for i, x in enumerate(steps) if x] for steps in itertools.product((-1, 0, 1), repeat=n)]
+        wanted = sorted(every, key=cost)[:probes]
+        assert [sorted(s) for s in pr.nearest_cells(within, probes)] == [sorted(s) for s in wanted]
+
+
+@pytest.fixture(scope="module")
+def clustered():
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(60, 24))
+    around = lambda i: (middles[i % 60] + rng.normal(size=24) * 0.25).round(3).tolist()
+    return [(i, around(i)) for i in range(60)], [(i, around(i)) for i in range(900)]
+
+
+@pytest.mark.parametrize("many", [False, True])
+def test_approximate_search(spark, clustered, monkeypatch, many):
+    """Exact distances, nine tenths of the true hits, a tenth of the pairs; the same for few and many queries."""
+    settings = {"bucket_length": 1.0, "tables": 4, "projections": 6, "probes": 16, "seed": 1}
+    if many:
+        for name, value in {"BLOCK_QUERIES": 7, "MEETING_QUERIES": 20}.items():
+            monkeypatch.setattr(v, name, value)
+        monkeypatch.setattr(pr, "BUCKET_ROWS", 10)
+    asked, have = frames(spark, clustered)
+    points = [[(i, [float(np.float32(x)) for x in p]) for i, p in side] for side in clustered]
+    exact = {(q, i): s for q, _, i, s in brute(*points, 900)}
+    grid = pr.Grid(24, 4, 6, 1.0, 1)
+    pairs = {tuple(r) for r in pr.probe_pairs(asked, have, grid, 16).collect()}
+    assert len(pairs) <= 0.1 * len(exact)
+    found = listed(pr.search_topk_approx(asked, have, k=5, **settings))
+    kept = {q for q in range(60) if sum(a == q for a, _ in pairs) >= 5}
+    wanted = [(q, n + 1, i, s) for q in range(60) for n, (s, i) in enumerate(sorted((exact[q, i], i) for i in range(900) if q not in kept or (q, i) in pairs)[:5])]
+    assert found == wanted
+    best = {(q, i) for q, _, i, _ in brute(*points, 5)}
     assert len(best & {(q, i) for q, _, i, _ in found}) / len(best) >= 0.9
 
 
-def test_approximate_search_prunes_and_fills_up(spark, points, monkeypatch):
+def test_approximate_search_fills_up(spark, points):
     queries, vectors = frames(spark, points)
-    every = queries.count() * vectors.count()
-    whole = {(x.query_id, x.id) for x in v.bucket_pairs(queries, vectors, 1.0, 2, 1).collect()}
-    split = v.bucket_pairs(queries, vectors, 1.0, 2, 1, salted=10)
-    assert {(x.query_id, x.id) for x in split.collect()} == whole and split.count() == len(whole) < 0.6 * every
-    plan = split._jdf.queryExecution().toString()
-    assert "Cartesian" not in plan and "NestedLoop" not in plan
-    narrow = v.search_topk_approx(queries, vectors, k=5, bucket_length=0.001, tables=1)
-    assert narrow.count() == 5 * queries.count()
+    narrow = pr.search_topk_approx(queries, vectors, k=5, bucket_length=0.001, tables=1, probes=2)
+    assert listed(narrow) == brute(*rounded(points), 5)
 
 
 def test_embedding(spark):
@@ -169,19 +218,46 @@ def bm25(queries, pages, k):
 @pytest.mark.parametrize("small", [False, True])
 def test_search_pages(spark, monkeypatch, small):
     if small:
-        monkeypatch.setattr(v, "BLOCK_QUERIES", 1)
-        monkeypatch.setattr(v, "PART_ITEMS", 5)
+        for name, value in {"BLOCK_ROWS": 3, "BLOCK_ASKED": 1, "BROADCAST_ROWS": 2}.items():
+            monkeypatch.setattr(r, name, value)
     rng = np.random.default_rng(3)
     vocabulary = ["sun", "moon", "star", "sky", "sea", "über", "x1"]
     pages = [(i, f"u{i}", "Sun", " ".join(rng.choice(vocabulary, rng.integers(0, 30)))) for i in range(40)]
     queries = [(1, "moon sea"), (2, "ÜBER, x1?"), (3, "nothing"), (4, "sun sun")]
-    found = r.search_pages(
-        spark.createDataFrame(queries, "query_id int, text string"),
-        spark.createDataFrame(pages, "page_id int, url string, title string, content string"),
-        k=30,
-    )
+    for k in (30, 3):
+        found = r.search_pages(
+            spark.createDataFrame(queries, "query_id int, text string"),
+            spark.createDataFrame(pages, "page_id int, url string, title string, content string"),
+            k=k,
+        )
+        rows = [(x.query_id, x.rank, x.page_id, round(x.score, 6)) for x in found.orderBy("query_id", "rank").collect()]
+        assert rows == bm25(queries, pages, k) and max(x[1] for x in rows) == k
+    empty = r.search_pages(spark.createDataFrame(queries, "query_id int, text string"), spark.createDataFrame([], "page_id int, url string, title string, content string"))
+    assert empty.collect() == []
+
+
+def test_blocks_without_a_hit_are_not_scored(spark, monkeypatch):
+    """Rare terms lead; blocks that only hold frequent ones are passed over, and the ranking stays whole."""
+    monkeypatch.setattr(r, "BLOCK_ROWS", 20)
+    rng = np.random.default_rng(5)
+    common, rare = ["the", "of", "and"], [f"rare{i}" for i in range(40)]
+    pages = [(i, f"u{i}", "", " ".join([*rng.choice(common, 30), *rng.choice(rare, 1), *(["gem"] * 3 if 70 <= i < 74 or i == 330 else [])])) for i in range(600)]
+    queries = [(1, "the gem of"), (2, "rare3 and"), (3, "the of and")]
+    asked = spark.createDataFrame(queries, "query_id int, text string")
+    table = spark.createDataFrame(pages, "page_id int, url string, title string, content string").coalesce(1)
+    kept = {}
+    score_blocks = r.score_blocks
+
+    def counted(pairs, *rest):
+        kept["pairs"] = pairs
+        return score_blocks(pairs, *rest)
+
+    monkeypatch.setattr(r, "score_blocks", counted)
+    found = r.search_pages(asked, table, k=3)
     rows = [(x.query_id, x.rank, x.page_id, round(x.score, 6)) for x in found.orderBy("query_id", "rank").collect()]
-    assert rows == bm25(queries, pages, 30) and max(x[1] for x in rows) > 10
+    assert rows == bm25(queries, pages, 3)
+    blocks = {q: n for q, n in kept["pairs"].groupBy("query_id").count().collect()}
+    assert blocks[1] <= 4 and blocks[2] < 30 and sum(blocks.values()) < 3 * 30
 
 
 def test_first_nonempty_source(spark):
