@@ -124,7 +124,14 @@ def _candidates(block: pa.Table):
             pairs.append(np.repeat(np.arange(len(own)), n) * len(wanted) + query[at])
         pair = np.unique(np.concatenate(pairs))
         row, query = pair // len(wanted), pair % len(wanted)
-        away = np.concatenate([((have[row[a : a + 8192]] - wanted[query[a : a + 8192]]) ** 2).sum(axis=1) for a in range(0, len(row), 8192)] or [np.empty(0)])
+        if len(pair) > 0.1 * len(have) * len(wanted):
+            # Most pairs are candidates: rough distances of all tell which need exact ones.
+            have_norm, wanted_norm = (have**2).sum(axis=1)[:, None], (wanted**2).sum(axis=1)
+            rough = np.full((len(have), len(wanted)), np.inf)
+            rough[row, query] = (have_norm + wanted_norm - 2 * (have @ wanted.T))[row, query]
+            slack = 1e-8 * (1 + have_norm + wanted_norm)
+            row, query = np.nonzero(rough - slack <= np.where(np.isfinite(rough), best.bound(rough + slack), -np.inf))
+        away = ((have[row] - wanted[query]) ** 2).sum(axis=1)
         near = away <= best.limit[query]
         return query[near], away[near], ids[row[near]]
 
