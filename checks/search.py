@@ -176,7 +176,29 @@ def search_topk_approx(spark, d):
     return found.withColumn("score", F.round("score", 6))
 
 
-@query("search_documents")
+# Chunks and questions as hashed words, weighted by how rare a place is among the chunks; single precision as stored.
+SEARCHED = rf"""WITH chunks AS MATERIALIZED (SELECT sha256(d.text) || '-0-' || chunk_no AS chunk_id, min(doc_id) AS doc_id, chunk_no,
+            any_value(c.text) AS text, arg_min(source, doc_id) AS source FROM ({CHUNKS}) c JOIN documents d USING (doc_id) GROUP BY d.text, chunk_no),
+        texts AS (SELECT chunk_id AS key, true AS chunk, text FROM chunks UNION ALL SELECT item_id::varchar, false, text FROM benchmark),
+        placed AS (SELECT key, chunk, ('0x' || left(md5(w), 7))::bigint % 256 AS place FROM (
+            SELECT key, chunk, unnest(regexp_extract_all(lower(text), '[\pL\pN_]+')) AS w FROM texts)),
+        counted AS (SELECT key, chunk, place, 1 + ln(count(*)) AS weight FROM placed GROUP BY ALL),
+        plain AS MATERIALIZED (SELECT key, chunk, place, (weight / sqrt(sum(weight * weight) OVER (PARTITION BY key, chunk)))::float::double AS weight FROM counted),
+        rare AS (SELECT place, 1 + ln((1 + any_value(n))::double / (1 + count(*))) AS idf
+            FROM plain, (SELECT count(*) AS n FROM chunks) WHERE chunk GROUP BY place),
+        rated AS (SELECT key, chunk, place, weight * coalesce(idf, 1 + ln((1 + n)::double)) AS weight FROM plain LEFT JOIN rare USING (place), (SELECT count(*) AS n FROM chunks)),
+        vectors AS MATERIALIZED (SELECT key, chunk, place, (weight / sqrt(sum(weight * weight) OVER (PARTITION BY key, chunk)))::float::double AS weight FROM rated),
+        sizes AS MATERIALIZED (SELECT key, chunk, sum(weight * weight) AS size FROM vectors GROUP BY ALL),
+        products AS MATERIALIZED (SELECT q.key AS item, c.key AS chunk_id, sum(q.weight * c.weight) AS product
+            FROM vectors q JOIN vectors c ON q.place = c.place AND c.chunk AND NOT q.chunk GROUP BY ALL),
+        scored AS (SELECT item_id AS query_id, chunks.*, coalesce(a.size, 0) + coalesce(b.size, 0) - 2 * coalesce(product, 0) AS score
+            FROM benchmark CROSS JOIN chunks LEFT JOIN sizes a ON a.key = item_id::varchar AND NOT a.chunk
+            LEFT JOIN sizes b ON b.key = chunks.chunk_id AND b.chunk LEFT JOIN products p ON p.item = item_id::varchar AND p.chunk_id = chunks.chunk_id),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9), chunk_id) AS rank FROM scored)
+        SELECT query_id, rank, doc_id, chunk_no, source, round(score, 6) AS score, text AS content FROM ranked WHERE rank <= 5"""
+
+
+@query("search_documents", SEARCHED)
 def search_documents(spark, d):
     return ix.search_table(questions(spark, d), table(spark, d, "documents").select("doc_id", "text", "source"))
 

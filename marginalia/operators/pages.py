@@ -30,6 +30,7 @@ from marginalia.operators.dom import (
     tight_text_of,
     with_dom,
 )
+from marginalia.session import broadcast_if_small, cut_lineage
 
 # A domain list up to this size becomes a literal set in the filter; a longer one is joined.
 LITERAL_DOMAINS = 20_000
@@ -437,9 +438,9 @@ def fetch_outcomes(crawl_log: DataFrame) -> DataFrame:
     """
     kind = attempt_class(F.col("status"), F.col("error_type"))
     log = crawl_log.select("url", "attempt", "status", (kind != "retryable").alias("decided"))
-    ends = log.filter("decided").groupBy("url").agg(F.min("attempt").alias("end"))
-    counted = log.join(ends, "url", "left").filter(F.col("end").isNull() | (F.col("attempt") <= F.col("end")))
-    # Numbers only, so that the partial aggregation works in place.
+    # The window and the grouping need the same partitioning, so the log is shuffled once.
+    end = F.min(F.when(F.col("decided"), F.col("attempt"))).over(W.partitionBy("url"))
+    counted = log.withColumn("end", end).filter(F.col("end").isNull() | (F.col("attempt") <= F.col("end")))
     per_url = counted.groupBy("url").agg(
         F.count(F.lit(1)).alias("attempts"),
         F.count_if(~F.col("decided")).alias("retryable"),
@@ -475,16 +476,17 @@ def store_pages(fetched: DataFrame, path: str, now: Column, page: str = "html")
 def cached_pages(requests: DataFrame, cache: DataFrame, now: Column, ttl_hours: int = 24) -> DataFrame:
     """Requests with the newest cached page of their key, unless it is older than the TTL.
 
-    Input: requests(url, ...), cache(cache_key, cached_at, page). The cache is cut to the
-    TTL before it is grouped, and grouped before it is joined.
+    Input: requests(url, ...), cache(cache_key, cached_at, page). The newest time of each key
+    that is asked for comes first; only the pages of these times are moved.
     """
-    newest = (
-        cache.filter(now - F.col("cached_at") <= F.make_dt_interval(hours=F.lit(ttl_hours)))
-        .groupBy("cache_key")
-        .agg(F.max_by("page", "cached_at").alias("page"))
-    )
     asked = requests.withColumn("cache_key", cache_key(F.col("url")))
-    return asked.join(newest.withColumn("hit", F.lit(True)), "cache_key", "left").withColumn(
+    valid = cache.filter(now - F.col("cached_at") <= F.make_dt_interval(hours=F.lit(ttl_hours)))
+    keys = broadcast_if_small(cut_lineage(asked.select("cache_key").distinct()))
+    times = valid.select("cache_key", "cached_at").join(keys, "cache_key", "left_semi")
+    times = broadcast_if_small(cut_lineage(times.groupBy("cache_key").agg(F.max("cached_at").alias("cached_at"))))
+    # A page that was stored twice at a time counts once.
+    newest = valid.select("cache_key", "cached_at", "page").join(times, ["cache_key", "cached_at"], "left_semi").dropDuplicates(["cache_key"])
+    return asked.join(newest.select("cache_key", "page", F.lit(True).alias("hit")), "cache_key", "left").withColumn(
         "hit", F.coalesce("hit", F.lit(False))
     )
 

@@ -1,13 +1,18 @@
+import csv
 import datetime as dt
 import hashlib
+import io
 import json
+import math
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from marginalia.operators.stats import timing_stats
 from marginalia.plans import indexing as ix
+from marginalia.sources import csv_rows
 from marginalia.sources import files as fs
 from marginalia.sources import summaries as su
 from marginalia.sources import tables as tb
@@ -49,19 +54,93 @@ def test_readers(spark, folder):
     files = fs.scan_files(spark, folder)
     texts = {r.filename: r.text for r in fs.read_text_docs(files).collect()}
     assert texts == {"salt.txt": TEXT, "UPPER.TXT": "café\nline", "broken.md": "ok  end"}
-    (page,) = fs.read_json_docs(files).collect()
+    bad, page = fs.read_json_docs(files).orderBy("filename").collect()
+    assert bad.text == "{no json"
     assert page.text == json.dumps({"b": [1, {"c": "ü"}], "a": None}, indent=2)
     assert [r.text for r in fs.read_html_docs(files).collect()] == ["T\n\nbody"]
     pages = {(r.filename, r.page_no): r.text for r in fs.extract_pages(files).collect()}
     assert pages == {
         **{(name, 0): text for name, text in texts.items()},
         ("data.json", 0): page.text,
+        ("bad.json", 0): bad.text,
         ("page.html", 0): "T\n\nbody",
         ("t.csv", 0): 'name: Ada\nnote: x "y"',
         ("t.csv", 1): "name: Bob\nnote: None",
     }
 
 
+def dict_rows(content):
+    """The pages by the standard library's reader."""
+    rows = csv.DictReader(io.StringIO(content.decode("utf-8", "ignore"), newline=""))
+    return ["\n".join(fs._csv_line(k, v) for k, v in row.items()) for row in rows]
+
+
+def test_csv_rows_over_any_splits(spark, tmp_path, monkeypatch):
+    """Line ends, quotes and commas in fields, with borders of splits between any lines, against the standard library."""
+    rng = random.Random(1)
+    parts = ["a", "é", ",", '"', "\n", "\r\n", " ", "x" * 9, '""', '","', '"\n"']
+    files = {}
+    for n in range(12):
+        out = io.StringIO(newline="")
+        writer = csv.writer(out, lineterminator=["\n", "\r\n"][n % 2], quoting=[csv.QUOTE_MINIMAL, csv.QUOTE_ALL][n % 3 > 0])
+        writer.writerow(["one", "two\nlines", "three"][: 2 + n % 2])
+        for _ in range(30):
+            writer.writerow(["".join(rng.choices(parts, k=rng.randint(0, 6))) for _ in range(rng.randint(1, 4))])
+        files[f"f{n}.csv"] = out.getvalue().encode()
+    files["literal.csv"] = b'a,b\n5" pipe,"x"y\n\n\r\nlast "q",1\n"two" more,"open\nto the end'
+    files["bytes.csv"] = b'k,v\n\xff1,"\xfe\n2"\n'
+    files["head.csv"] = b"only,header\n"
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    wanted = {name: list(enumerate(dict_rows(content))) for name, content in files.items()}
+    wanted = {name: rows for name, rows in wanted.items() if rows}
+
+    def found():
+        pages = {}
+        for r in fs.read_csv_docs(spark, str(tmp_path)).orderBy("path", "page_no").collect():
+            pages.setdefault(r.path.rsplit("/", 1)[1], []).append((r.page_no, r.text))
+        return pages
+
+    assert found() == wanted
+    # The same lines, as if splits of a few lines had been read.
+    lines = []
+    for name, content in files.items():
+        block = 0
+        for i, line in enumerate(content.removesuffix(b"\n").split(b"\n")):
+            block = i * 10 if rng.random() < 0.4 else block
+            lines.append((f"file:{tmp_path}/{name}", block, line))
+    split = spark.createDataFrame(lines, "path string, block bigint, line binary").coalesce(1)
+    assert split.select("path", "block").distinct().count() > 100
+    monkeypatch.setattr(csv_rows, "csv_lines", lambda *_: split)
+    assert found() == wanted
+    monkeypatch.setattr(csv_rows, "broadcast_if_small", lambda df: df)
+    assert found() == wanted
+
+
+def test_a_csv_file_is_read_in_many_tasks(spark, tmp_path):
+    rows = [[str(i), f'line "{i}"\nand, more ' + "y" * (i % 50)] for i in range(4000)]
+    with open(tmp_path / "big.csv", "w", newline="") as out:
+        csv.writer(out).writerows([["no", "text"], *rows])
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", 30_000)
+        assert csv_rows.csv_lines(spark, str(tmp_path)).rdd.getNumPartitions() >= 5
+        found = [(r.page_no, r.text) for r in fs.read_csv_docs(spark, str(tmp_path)).orderBy("page_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held)
+    assert found == [(i, f"no: {n}\ntext: {t.strip()}") for i, (n, t) in enumerate(rows)]
+
+
+def test_long_fields_and_broken_files(spark, tmp_path):
+    """A field beyond the limit of the standard library, alone and while indexing; a file that cannot be parsed stays text."""
+    long = "word " * 40_000
+    (tmp_path / "long.csv").write_text(f'k,v\n1,"{long}"\n2,x\n')
+    (tmp_path / "null.json").write_text("[" * 100_000)
+    assert [len(r.text) for r in fs.read_csv_docs(spark, str(tmp_path)).orderBy("page_no").collect()] == [len("k: 1\nv: ") + len(long) - 1, len("k: 2\nv: x")]
+    pages = {(r.filename, r.page_no): len(r.text) for r in fs.extract_pages(fs.scan_files(spark, str(tmp_path))).collect()}
+    assert pages == {("long.csv", 0): len("k: 1\nv: ") + len(long) - 1, ("long.csv", 1): 9, ("null.json", 0): 100_000}
+
+
 def test_read_csv_docs(spark, tmp_path):
     (tmp_path / "a.csv").write_text('name,note\nAda,"two\nlines, ""q"""\nBob, x \nCy,1,2,3\n')
     (tmp_path / "b.csv").write_text("z,w\n8,9\n")
@@ -102,14 +181,71 @@ def test_one_batch_or_many(spark, tmp_path):
     assert ix.read_documents(keys, str(tmp_path / "none")).count() == 0
 
 
+def search_rows(spark, index, text="the moon"):
+    asked = spark.createDataFrame([(1, text)], "query_id int, text string")
+    return [(r.rank, r.filename, r.score) for r in ix.search_documents(asked, index, k=9).orderBy("rank").collect()]
+
+
+def test_runs_that_meet_leave_one_set_of_chunks(spark, tmp_path, monkeypatch):
+    """Two runs at once, and a run that is made again, are as one run."""
+    (tmp_path / "d").mkdir()
+    for n in range(6):
+        (tmp_path / "d" / f"{n}.txt").write_text(f"moon {n} " + "tide " * n)
+    files = fs.scan_files(spark, str(tmp_path / "d"))
+    once, again, both = (str(tmp_path / n) for n in ("once", "again", "both"))
+    ix.index_documents(files, once)
+    for _ in range(2):
+        ix.index_documents(files, again, run="batch-0")
+    # What the second run sees is from before the first one wrote.
+    seen = ix._known(spark, both, "b")
+    ix.index_documents(files.where("filename < '4.txt'"), both, run="a")
+    with monkeypatch.context() as patch:
+        patch.setattr(ix, "_known", lambda *_: seen)
+        ix.index_documents(files, both, run="b")
+    wanted = search_rows(spark, once)
+    for index in (again, both):
+        chunks = ix.read_chunks(spark, index)
+        assert chunks.count() == chunks.select("chunk_id").distinct().count() == 6
+        assert ix.read_pages(spark, index).count() == 6
+        assert search_rows(spark, index) == wanted
+    assert {r.run for r in spark.read.parquet(f"{both}/chunks").select("run").distinct().collect()} == {"a", "b"}
+
+
+def test_look_ups_read_the_runs_of_their_documents(spark, tmp_path):
+    """Only files of the runs that hold a document are read, however many runs there are."""
+    index = str(tmp_path / "index")
+    (tmp_path / "d").mkdir()
+    for n in range(4):
+        (tmp_path / "d" / f"{n}.txt").write_text(f"text number {n}")
+        ix.index_documents(fs.scan_files(spark, str(tmp_path / "d")), index, run=f"r{n}")
+    wanted = hashlib.sha256(b"text number 2").hexdigest()
+    rows = ix.read_pages(spark, index, spark.createDataFrame([(wanted,)], "doc_id string"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    runs, pushed = (plan.split(f"{name}: [")[1].split("]")[0] for name in ("PartitionFilters", "PushedFilters"))
+    assert "run" in runs and "r2" in runs and "r1" not in runs and "doc_id" in pushed
+    assert [r.text for r in rows.collect()] == ["text number 2"]
+
+
+def test_frequencies_merge(spark, tmp_path):
+    """A word that all documents have counts less than a rare one."""
+    (tmp_path / "d").mkdir()
+    for n in range(8):
+        (tmp_path / "d" / f"{n}.txt").write_text("common " + ("gem" if n == 5 else f"w{n}") + " filler")
+    index = str(tmp_path / "i")
+    ix.index_documents(fs.scan_files(spark, str(tmp_path / "d")), index)
+    weights = ix.index_weights(spark, index)
+    assert weights.min() == 1 and weights.max() == pytest.approx(1 + math.log(9))
+    assert search_rows(spark, index, "common gem")[0][1] == "5.txt"
+
+
 def test_index_and_search(spark, folder, tmp_path):
     index = str(tmp_path / "index")
     files = fs.scan_files(spark, folder)
     questions = spark.createDataFrame([(1, "salt from sea water"), (2, "name Ada")], "query_id int, text string")
     assert ix.search_documents(questions, index).count() == 0
-    assert ix.index_documents(files, index) == {"found": 8, "indexed": 6}
+    assert ix.index_documents(files, index) == {"found": 8, "indexed": 7}
     rows = {r.filename: r for r in tb.read_registry(spark, index + "/registry").collect()}
-    assert set(rows) == {"salt.txt", "UPPER.TXT", "broken.md", "data.json", "t.csv", "page.html"}
+    assert set(rows) == {"salt.txt", "UPPER.TXT", "broken.md", "data.json", "bad.json", "t.csv", "page.html"}
     assert rows["salt.txt"].id == hashlib.sha256(TEXT.encode()).hexdigest()
 
     # The same again adds no chunk; a copy elsewhere moves its document; a new file is added.
@@ -118,9 +254,9 @@ def test_index_and_search(spark, folder, tmp_path):
         out.write(TEXT)
     with open(f"{folder}/new.md", "w") as out:
         out.write("moon " * 500)
-    assert ix.index_documents(fs.scan_files(spark, folder), index) == {"found": 10, "indexed": 7}
+    assert ix.index_documents(fs.scan_files(spark, folder), index) == {"found": 10, "indexed": 8}
     rows = {r.filename: r for r in tb.read_registry(spark, index + "/registry").collect()}
-    assert "z_copy.txt" in rows and "salt.txt" not in rows and len(rows) == 7
+    assert "z_copy.txt" in rows and "salt.txt" not in rows and len(rows) == 8
     assert ix.read_chunks(spark, index).count() == chunks + 3
 
     found = ix.search_documents(questions, index, k=2).orderBy("query_id", "rank").collect()
