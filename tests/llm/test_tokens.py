@@ -129,10 +129,21 @@ def test_files(spark, documents, tmp_path):
 
 
 def test_files_of_odd_rows(spark, docs_of, tmp_path):
-    rows = [(2, None), (1, ""), (2, "b"), (2, "b"), (None, "none"), (0, "word " * 5000)]
+    rows = [(2, None), (1, ""), (2, "b"), (2, "b"), (None, "none"), (0, "word " * 5000), (-7, "minus")]
     folder = write_token_files(docs_of(*rows), str(tmp_path / "b"))
     found = read_token_files(spark, folder).orderBy("start").collect()
     assert [r.n_tokens for r in found if r.doc_id == 1] == [1]
     assert sorted(r.n_tokens for r in found if r.doc_id == 2) == [1, 2, 2]
-    assert len(found) == 6 and [r.start for r in found] == list(np.cumsum([0] + [r.n_tokens for r in found])[:-1])
+    assert [r.doc_id for r in found] == [None, -7, 0, 1, 2, 2, 2]
+    assert len(found) == 7 and [r.start for r in found] == list(np.cumsum([0] + [r.n_tokens for r in found])[:-1])
     assert read_token_files(spark, write_token_files(docs_of(), str(tmp_path / "c"))).count() == 0
+
+
+def test_one_id_in_many_parts(spark, docs_of, tmp_path):
+    """An id that most rows have is dealt out over several parts, in one order."""
+    rows = [(5, f"row {i}") for i in range(300)] + [(i, "x") for i in range(10)]
+    folder = write_token_files(docs_of(*rows), str(tmp_path / "d"))
+    found = read_token_files(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in found] == sorted(i for i, _ in rows)
+    assert [r.start for r in found] == list(np.cumsum([0] + [r.n_tokens for r in found])[:-1])
+    assert max(p["docs"] for p in read_manifest(folder)["parts"]) < 250
