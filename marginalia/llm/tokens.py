@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Words whose ids a Python worker remembers; beyond it the memory starts afresh.
-REMEMBERED_WORDS = 400_000
+# Words, and pieces of words, whose ids a Python worker remembers: half of them those met last.
+REMEMBERED_WORDS = 200_000
+REMEMBERED_PIECES = 500_000
 # Longer words are encoded each time.
 REMEMBERED_LENGTH = 64
 # Bytes of text that are encoded in one step, or one text.
@@ -57,6 +58,30 @@ def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"={len(ids)}I", *ids)
 
 
+class Memory:
+    """Ids as bytes by text, in two halves: when the young one is full it becomes the old one, whose rest goes."""
+
+    def __init__(self, size: int) -> None:
+        self.half = size // 2
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def get(self, text: str) -> bytes | None:
+        ids = self.young.get(text)
+        if ids is None and (ids := self.old.get(text)) is not None:
+            self.put(text, ids)
+        return ids
+
+    def put(self, text: str, ids: bytes) -> None:
+        if len(text) <= REMEMBERED_LENGTH:
+            if len(self.young) >= self.half:
+                self.old, self.young = self.young, {}
+            self.young[text] = ids
+
+    def clear(self) -> None:
+        self.young, self.old = {}, {}
+
+
 class Encoder:
     def __init__(self, tokenizer: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,8 +93,7 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.spaced = self.whole(" a") != self.whole("a")
         # Ids as bytes of unsigned 32-bit integers, which join fast and take little room.
-        self.memory: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.memory, self.pieces = Memory(REMEMBERED_WORDS), Memory(REMEMBERED_PIECES)
         self.quick = True
         probes = [" " + p if self.spaced else p for p in _PROBES]
         self.quick = all(self.chunk(p) == _packed(self.whole(p)) for p in probes)
@@ -91,19 +115,18 @@ class Encoder:
         else:
             found = _SPACED_PIECES.findall(text) if self.spaced else _LOWER_PIECES.findall(text.lower())
             ids = self.piece(found[0]) if len(found) == 1 else b"".join(map(self.piece, found))
-        if len(text) <= REMEMBERED_LENGTH:
-            if len(self.memory) >= REMEMBERED_WORDS:
-                self.memory.clear()
-                self.pieces.clear()
-            self.memory[text] = ids
+        self.memory.put(text, ids)
         return ids
 
     def piece(self, text: str) -> bytes:
         known = self.pieces.get(text)
         if known is None:
-            known = _packed([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(_ALPHABET))])
-            if len(text) <= REMEMBERED_LENGTH:
-                self.pieces[text] = known
+            if text.isascii():  # printable, but for a space before it
+                symbols = "\u0120" + text[1:] if text[0] == " " else text
+            else:
+                symbols = text.encode().decode("latin-1").translate(_ALPHABET)
+            known = _packed([t.id for t in self.model.tokenize(symbols)])
+            self.pieces.put(text, known)
         return known
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -128,12 +151,13 @@ class Encoder:
         number = listed.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         known = listed.dictionary.to_pylist()
         first = np.concatenate([[0], np.cumsum(n_words)])[:-1]
+        held = self.memory.young.get
         if self.spaced:
             starts = [known[i] for i in number[first]]
-            ids = [self.chunk(" " + w) for w in known] + [self.chunk(w) if w else b"" for w in starts]
+            ids = [held(w) or self.chunk(w) for w in [" " + w for w in known]] + [self.chunk(w) if w else b"" for w in starts]
             number[first] = len(known) + np.arange(len(first))
         else:
-            ids = [self.chunk(w) if w else b"" for w in known]
+            ids = [held(w) or self.chunk(w) if w else b"" for w in known]
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
         flat = np.frombuffer(b"".join(ids), np.uint32)
         place = np.concatenate([[0], np.cumsum(size)])[:-1]
