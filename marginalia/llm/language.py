@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from marginalia.llm.workers import let_go
+
 UNKNOWN = "und"
 # Labelled rows that are learned from, at most; one window of each.
 SAMPLE = 8000
@@ -188,6 +190,7 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
 
     @F.arrow_udf("struct<lang_pred string, score double>")
     def predict(texts: pa.Array) -> pa.Array:
+        let_go()
         net, found, scores = shared.value, [], []
         listed = texts.to_pylist()
         for a in range(0, len(listed), 256):

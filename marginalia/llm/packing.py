@@ -137,7 +137,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int = 0, w
             yield pa.RecordBatch.from_arrays(columns, names)
 
     rows = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return rows.mapInArrow(giving_back(cut), _PIECES + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(giving_back(cut, encoder), _PIECES + (", ids array<int>" if with_ids else ""))
 
 
 def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -172,7 +172,7 @@ def pack_pieces(pieces: DataFrame, capacity: int) -> DataFrame:
             out += [pa.array(step[:, 2] + later // step[:, 3]), pa.array(step[:, 4] + later % step[:, 3] * length)]
             yield pa.RecordBatch.from_arrays(out, [*names, "sequence_id", "offset"])
 
-    return ranked.select(*names, "_rank").mapInArrow(giving_back(place), schema)
+    return ranked.select(*names, "_rank").mapInArrow(giving_back(place, encoder), schema)
 
 
 def pack_documents(

@@ -135,10 +135,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_5
             yield out.close()
 
     # Texts are encoded where they are read, once; ids of two bytes are what moves.
-    encoded = rows.mapInArrow(giving_back(encode), "part int, doc_id bigint, tie bigint, ids binary")
+    encoded = rows.mapInArrow(giving_back(encode, encoder), "part int, doc_id bigint, tie bigint, ids binary")
     placed = encoded.repartition(len(bounds) + 1, "part").sortWithinPartitions("part", "doc_id", "tie")
     # One short row per part.
-    parts = sorted(placed.select("part", "doc_id", "ids").mapInArrow(giving_back(write), _WRITTEN).collect())
+    parts = sorted(placed.select("part", "doc_id", "ids").mapInArrow(giving_back(write, encoder), _WRITTEN).collect())
     base, listed = 0, []
     for p in parts:
         listed.append({"part": p.part, "docs": p.docs, "tokens": p.tokens, "nulls": p.nulls, "base": base})
@@ -195,4 +195,4 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return listed.mapInArrow(giving_back(read), _READ)
+    return listed.mapInArrow(giving_back(read, encoder), _READ)

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from marginalia.llm.workers import let_go_later
+
 # Words, and pieces of words, whose ids a Python worker remembers: half of them those met last.
 REMEMBERED_WORDS = 200_000
 REMEMBERED_PIECES = 500_000
@@ -184,6 +186,7 @@ def short_batches(batches: Iterable[pa.RecordBatch], rows: int = 2000) -> Iterat
             yield batch.slice(start, rows)
 
 
+@let_go_later
 @functools.lru_cache(maxsize=2)
 def encoder(tokenizer: str) -> Encoder:
     return Encoder(tokenizer)

@@ -21,11 +21,30 @@ def give_back() -> None:
         return
 
 
-def giving_back(read: Callable) -> Callable:
-    """A function over batches that returns free memory when its task ends."""
+_caches: list[Callable] = []
+
+
+def let_go_later(cached: Callable) -> Callable:
+    """Mark a function with ``lru_cache`` whose results other operators' tasks let go of."""
+    _caches.append(cached)
+    return cached
+
+
+def let_go(keep: Callable | None = None) -> None:
+    """Drop what earlier operators have cached in this worker, but for ``keep``."""
+    held = [c for c in _caches if c is not keep and c.cache_info().currsize]
+    for cached in held:
+        cached.cache_clear()
+    if held:
+        give_back()
+
+
+def giving_back(read: Callable, keep: Callable | None = None) -> Callable:
+    """A function over batches that drops what others have cached first, and returns free memory when its task ends."""
 
     @functools.wraps(read)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(keep)
         try:
             yield from read(batches)
         finally:

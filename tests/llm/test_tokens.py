@@ -147,3 +147,14 @@ def test_one_id_in_many_parts(spark, docs_of, tmp_path):
     assert [r.doc_id for r in found] == sorted(i for i, _ in rows)
     assert [r.start for r in found] == list(np.cumsum([0] + [r.n_tokens for r in found])[:-1])
     assert max(p["docs"] for p in read_manifest(folder)["parts"]) < 250
+
+
+def test_other_operators_let_go_of_the_encoder():
+    """A worker that goes on to another operator drops the encoder; one that goes on encoding keeps it."""
+    from marginalia.llm.workers import giving_back
+
+    first = encoder(NAMES[0])
+    list(giving_back(iter, encoder)([]))
+    assert encoder(NAMES[0]) is first
+    list(giving_back(iter)([]))
+    assert encoder.cache_info().currsize == 0
