@@ -28,7 +28,7 @@ SHARDS = 40
 
 @query("op1_substring_dedup")
 def substring_dedup(spark: SparkSession, directory: str) -> DataFrame:
-    return repeated_passages(table(spark, directory, "documents")).drop("cuts")
+    return repeated_passages(table(spark, directory, "documents")).drop("cuts", "text_hash")
 
 
 DECONTAMINATION_SQL = r"""
