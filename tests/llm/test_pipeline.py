@@ -51,6 +51,19 @@ def test_contracts(spark):
         assert found.select("doc_id").distinct().count() == n
 
 
+def test_rows_of_one_id(spark, docs_of):
+    """A stage drops a row by its id and text, and returns columns whose names it uses itself as they came."""
+    text = " ".join(f"w{i}" for i in range(80))
+    other = " ".join(f"v{i}" for i in range(80))
+    docs = docs_of((1, text), (2, text + " end"), (2, other), (2, None), (None, text), (3, ""))
+    docs = docs.withColumnsRenamed({"component_id": "_gone_id"}).selectExpr("*", "'x' as lang_pred", "'y' as text_hash")
+    kept = corpus_pipeline.ngram_jaccard_join(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == sorted([("1", text), ("2", other), ("2", "None"), ("None", text), ("3", "")])
+    known = corpus_pipeline.language_id(spark, docs, SMALL)
+    assert known.columns == docs.columns and {(r.score, r.lang_pred, r.text_hash) for r in known.collect()} == {(7, "x", "y")}
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     texts = {}
