@@ -1,6 +1,7 @@
 """Token ids of whole texts, with a bounded memory of words seen before.
 
-Texts are cut at single spaces, words are numbered by Arrow, and only words that a worker
+Texts are cut at single spaces and words are numbered by Arrow. Plain words are cut into pieces by
+their bytes, all of a batch at once; of pieces and of other words only those that a worker
 has not met are given to the tokenizer. The result is that of encoding each whole text.
 """
 
@@ -37,6 +38,13 @@ _LINES = re.compile("( ?[!-~À-ÖØ-öø-ÿ]+\n)+[!-~À-ÖØ-öø-ÿ]+")
 _SPACED_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTER}]+| ?[0-9]+| ?[^ {_LETTER}0-9]+")
 _LOWER_PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
 _PROBES = ["Don't", "we'LL", "a1b22", "x--y.", "(3.5%)", "'sun", "~!@#", "It's", "Élan,", "«straße»ÿ", "é1", "on.\nThe", "a\nb,\nc"]
+# The same by bytes: letters (those of Latin-1 have two bytes, the first 0xC3), digits, other printable ones, the space before a
+# word, a line end. Words with any other byte, and those with an apostrophe, are cut by the expressions above.
+_OTHER, _LETTERS, _DIGIT, _MARK, _BEFORE, _END = range(6)
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[[*range(65, 91), *range(97, 123), *range(0x80, 0xC0), 0xC3]] = _LETTERS
+_KIND[48:58], _KIND[32], _KIND[10], _KIND[39] = _DIGIT, _BEFORE, _END, _OTHER
 # Byte-level vocabularies spell bytes as characters: printable ones as they are, the others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTABLE)))}
@@ -56,6 +64,20 @@ def tokenizer_path(tokenizer: str) -> str:
     return public_tokenizers.path(tokenizer)
 
 
+def _bytes_of(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, and where each begins, with the end."""
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    held = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.empty(0, np.uint8)
+    return held, at - at[0]
+
+
+def _spread(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of ``flat``, one after the other."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"={len(ids)}I", *ids)
 
@@ -142,6 +164,63 @@ class Encoder:
         counts = np.concatenate([np.diff(starts) for _, starts in parts])
         return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], np.cumsum(counts)])
 
+    def _words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one after the other, and how many each has. Plain words are cut into pieces by their bytes."""
+        plain = self._plain(words)
+        rest = words.filter(pa.array(~plain)).to_pylist()
+        ids = [self.chunk(w) if w else b"" for w in rest]
+        size = np.zeros(len(words), np.int64)
+        size[~plain] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        if not plain.any():
+            return flat, size
+        cut = words.filter(pa.array(plain))
+        held, at = _bytes_of(cut if self.spaced else pc.utf8_lower(cut))
+        kind = _KIND[held]
+        new = np.ones(len(held), bool)
+        new[1:] = (kind[1:] != kind[:-1]) & (kind[:-1] != _BEFORE)
+        if not self.spaced:
+            new |= kind == _DIGIT
+        new[at[:-1]] = True
+        bounds = np.append(np.flatnonzero(new), len(held)).astype(np.int32)
+        pieces = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(held)).dictionary_encode()
+        get = self.pieces.young.get
+        met = [get(p) or (self.chunk(p) if p == "\n" else self.piece(p)) for p in pieces.dictionary.to_pylist()]
+        piece = pieces.indices.to_numpy(zero_copy_only=False)
+        sizes = np.fromiter(map(len, met), np.int64, len(met)) // 4
+        lengths = sizes[piece]
+        found = _spread(np.frombuffer(b"".join(met), np.uint32), (np.cumsum(sizes) - sizes)[piece], lengths)
+        before = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(bounds, at)]
+        size[plain] = np.diff(before)
+        if not rest:
+            return found, size
+        # Both kinds in the order of the words.
+        own = size[plain]
+        starts = np.empty(len(words), np.int64)
+        starts[plain] = np.cumsum(own) - own
+        own = size[~plain]
+        starts[~plain] = len(found) + np.cumsum(own) - own
+        return _spread(np.concatenate([found, flat]), starts, size), size
+
+    def _plain(self, words: pa.StringArray) -> np.ndarray:
+        """Which words can be cut by their bytes."""
+        held, at = _bytes_of(words)
+        if not self.quick or not len(held):
+            return np.zeros(len(words), bool)
+        kind = _KIND[held]
+        odd = kind == _OTHER
+        # The signs of multiplication and division are the only ones of their block that are not letters.
+        odd[1:] |= (held[:-1] == 0xC3) & ((held[1:] == 0x97) | (held[1:] == 0xB7))
+        # A line end stands between two others.
+        end = kind == _END
+        inner = (kind != _END) & (kind != _BEFORE)
+        odd |= end & ~(np.append(False, inner[:-1]) & np.append(inner[1:], False))
+        full = at[1:] > at[:-1]
+        odd[at[:-1][full]] |= end[at[:-1][full]]
+        odd[at[1:][full] - 1] |= end[at[1:][full] - 1]
+        counted = np.concatenate([[0], np.cumsum(odd)])
+        return (counted[at[1:]] == counted[at[:-1]]) & (at[1:] - at[:-1] > int(self.spaced))
+
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         uneven = np.zeros(len(texts), bool)
         if self.spaced:
@@ -151,22 +230,20 @@ class Encoder:
         n_words = words.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         listed = words.flatten().dictionary_encode()
         number = listed.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        known = listed.dictionary.to_pylist()
+        known = listed.dictionary
         first = np.concatenate([[0], np.cumsum(n_words)])[:-1]
-        held = self.memory.young.get
         if self.spaced:
-            starts = [known[i] for i in number[first]]
-            ids = [held(w) or self.chunk(w) for w in [" " + w for w in known]] + [self.chunk(w) if w else b"" for w in starts]
+            starts = known.take(pa.array(number[first])).to_pylist()
             number[first] = len(known) + np.arange(len(first))
-        else:
-            ids = [held(w) or self.chunk(w) if w else b"" for w in known]
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        place = np.concatenate([[0], np.cumsum(size)])[:-1]
+            known = pc.binary_join_element_wise("", known, " ")
+        flat, size = self._words(known)
+        if self.spaced:
+            ids = [self.chunk(w) if w else b"" for w in starts]
+            flat = np.concatenate([flat, np.frombuffer(b"".join(ids), np.uint32)])
+            size = np.concatenate([size, np.fromiter(map(len, ids), np.int64, len(ids)) // 4])
         lengths = size[number]
         ends = np.cumsum(lengths)
-        within = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - lengths, lengths)
-        out = flat[np.repeat(place[number], lengths) + within]
+        out = _spread(flat, (np.cumsum(size) - size)[number], lengths)
         by_text = np.concatenate([[0], ends])[np.concatenate([first, [len(number)]])]
         if not uneven.any():
             return out, by_text

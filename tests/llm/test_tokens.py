@@ -39,6 +39,20 @@ def test_encoding_of_any_text(texts):
             assert ids[starts[i] : starts[i + 1]].tolist() == words.whole(text), text
 
 
+@pytest.mark.parametrize("name", NAMES)
+def test_plain_words_are_cut_together(name, monkeypatch):
+    """Words of printable characters are not cut one by one, but for the first of a text; others are."""
+    words, cut = encoder(name), []
+    chunk = type(words).chunk
+    monkeypatch.setattr(type(words), "chunk", lambda self, text: cut.append(text) or chunk(self, text))
+    texts = ["One,two (3.5%) x_y\nElan: Éßÿ 12-a. end", "a×b ÷ ÿ÷ Ã× 日本 it's", "\na b\n c\n\nd", None, "x y"]
+    ids, starts = words.encode(texts)
+    assert "One,two" in cut or not words.spaced
+    assert not {s + w for s in ("", " ") for w in ("(3.5%)", "x_y\nElan:", "Éßÿ", "12-a.", "end", "y")} & set(cut)
+    for i, text in enumerate(texts):
+        assert ids[starts[i] : starts[i + 1]].tolist() == words.whole(text or ""), text
+
+
 def plain_best_fit(lengths, capacity):
     """Rooms after placing pieces one by one, the longest first, each into the tightest room that holds it."""
     rooms = []
