@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontamination
+from marginalia.llm import decontamination, extraction
 from marginalia.llm.decontamination import clean_documents, contamination, cut_spans
 from marginalia.llm.extraction import extract_pages, page_blocks
 from marginalia.llm.language import byte_windows, fold, identify, learn, quotas, train
@@ -230,3 +230,46 @@ def test_table_pages(spark):
         article = re.search("<article>(.*)</article>", r.html, re.S)[1]
         blocks = [" ".join(html.unescape(re.sub("<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", article)]
         assert found[r.page_id] == "\n".join(b for b in blocks if b)
+
+
+def plain_common_runs(articles, k=8, share=0.8, least=8):
+    """Texts of the articles of one host without the runs that most of them have, by comparing all runs."""
+    def runs(blocks):
+        return {(b, i): tuple(words[i : i + k]) for b, words in enumerate(blocks) for i in range(len(words) - k + 1)}
+
+    distinct = [set(runs(a).values()) for a in {tuple(map(tuple, a)) for a in articles}]
+    counts = {r: sum(r in d for d in distinct) for d in distinct for r in d}
+    common = {r for r, n in counts.items() if n >= least and n >= share * len(distinct)}
+    texts = []
+    for blocks in articles:
+        gone = {(b, i + j) for (b, i), r in runs(blocks).items() if r in common for j in range(k)}
+        if 2 * len(gone) > sum(map(len, blocks)):
+            gone = set()
+        lines = [" ".join(w for i, w in enumerate(words) if (b, i) not in gone) for b, words in enumerate(blocks)]
+        texts.append("\n".join(line for line in lines if line))
+    return texts
+
+
+@pytest.mark.parametrize("held", [1_000_000, 50])
+def test_common_runs_of_articles(spark, monkeypatch, held):
+    monkeypatch.setattr(extraction, "HELD", held)
+    draw = np.random.default_rng(7)
+    notice = "you may read three more stories for free this month".split()
+    hosts = {}
+    for n, size in enumerate((7, 8, 30, 40)):
+        for i in range(size):
+            own = [[f"w{x}" for x in draw.integers(0, 400, draw.integers(1, 30))] for _ in range(3)]
+            told = own[1][:5] + notice + own[1][5:] if i % 10 != 3 or n == 1 else own[1]
+            hosts.setdefault(f"h{n}.example", []).append([["Summary"], own[0], told, own[2] + ["by"]])
+    hosts["near.example"] = [[[f"t{i}"], [f"s{j}" for j in range(30)]] for i in range(12)]
+    hosts["few.example"] = [[*a[:2], notice if i % 2 else ["none"], *a[2:]] for i, a in enumerate(hosts["h0.example"] * 2)]
+    hosts["h3.example"] += hosts["h3.example"][:5] * 30
+    rows, wanted = [], {}
+    for host, articles in hosts.items():
+        for blocks, text in zip(articles, plain_common_runs(articles)):
+            html = "<article>" + "".join(f"<p>{' '.join(b)}</p>" for b in blocks) + "</article>"
+            wanted[len(rows)] = text
+            rows.append((len(rows), f"http://{host}/{len(rows)}", html))
+    assert "three more stories" not in wanted[9] and "three more stories" in wanted[0]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    assert {r.page_id: r.text for r in extract_pages(pages).collect()} == wanted
