@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from marginalia.llm.workers import let_go
+from marginalia.llm.workers import giving_back
 
 UNKNOWN = "und"
 # Labelled rows that are learned from, at most; one window of each.
@@ -188,13 +188,10 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(net)
 
-    @F.arrow_udf("struct<lang_pred string, score double>")
-    def predict(texts: pa.Array) -> pa.Array:
-        let_go()
+    def told(texts: pa.Array) -> pa.Array:
         net, found, scores = shared.value, [], []
-        listed = texts.to_pylist()
-        for a in range(0, len(listed), 256):
-            part = listed[a : a + 256]
+        for a in range(0, len(texts), 256):
+            part = texts.slice(a, 256).to_pylist()
             read = [i for i, t in enumerate(part) if net is not None and has_letters(t)]
             langs, best = [UNKNOWN] * len(part), [0.0] * len(part)
             if read:
@@ -208,6 +205,10 @@ def identify(docs: DataFrame, net: ByteNet | None) -> DataFrame:
             scores += best
         return pa.StructArray.from_arrays([pa.array(found, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
+    def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from map(told, batches)
+
+    predict = F.arrow_udf(giving_back(read), "struct<lang_pred string, score double>")
     kept = [docs[c] for c in docs.columns if c not in ("lang_pred", "score")]
     guessed = docs.select(*kept, predict(docs["text"]).alias("_language"))
     return guessed.select(*(F.col(c.name) for c in guessed.schema if c.name != "_language"), "_language.lang_pred", "_language.score")

@@ -102,3 +102,14 @@ def test_pipeline(spark):
         assert (i in clean) != hit
     run = corpus_pipeline.run(spark, SMALL)
     assert {r.doc_id for r in run.select("doc_id").distinct().collect()} == set(clean)
+
+
+def test_short_batches(spark):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "10000")
+    try:
+        corpus_pipeline._ship(spark)
+        assert spark.conf.get(name) == "1000"
+    finally:
+        spark.conf.set(name, held)
