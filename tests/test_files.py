@@ -10,6 +10,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import checks
+from checks import search
 from marginalia.operators.stats import timing_stats
 from marginalia.plans import indexing as ix
 from marginalia.sources import csv_rows
@@ -331,3 +333,26 @@ def test_write_metrics(spark, tmp_path):
     runs = spark.createDataFrame([(1.0,), (2.0,)], "seconds double")
     tb.write_metrics(timing_stats(runs, []), str(tmp_path / "m"))
     assert spark.read.json(str(tmp_path / "m")).first().avg_seconds == 1.5
+
+
+def test_files_of_documents_lie_in_bounded_folders(spark, tmp_path, monkeypatch):
+    checks.load()
+    texts = [f"text {i % 9} of a document" for i in range(23)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(search, "FOLDER_FILES", 6)
+    top, cuts = search.document_files(spark, str(tmp_path))
+    held = [sorted(os.listdir(p.removeprefix("file://"))) for p in search.folders(top, cuts)]
+    names = [[n for n in one if n.endswith(".txt")] for one in held]
+    assert len(names) > 2 and max(map(len, names)) < 12
+    assert sum(names, []) == sorted(f"doc_{i}.txt" for i in range(23))
+    listed = []
+    monkeypatch.setattr(search.fs, "scan_files", lambda s, p, scan=fs.scan_files: listed.append(scan(s, p).count()) or scan(s, p))
+    last = {hashlib.sha256(t.encode()).hexdigest(): max(f"doc_{i}.txt" for i in range(23) if texts[i] == t) for t in texts}
+    for name in ("index_documents", "index_stream"):
+        found = checks.QUERIES[name](spark, str(tmp_path)).collect()
+        assert sorted(r.id for r in found) == sorted(last)
+    assert max(listed) < 12 and sum(listed) == 23
+    assert {r.id: r.filename for r in checks.QUERIES["index_documents"](spark, str(tmp_path)).collect()} == last
+    read = checks.QUERIES["read_documents"](spark, str(tmp_path)).collect()
+    assert sorted((r.kind, r.id, r.filename) for r in read) == sorted((k, *x) for x in last.items() for k in ("id", "short", "path"))
